@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import archive, mixing, simhash
 
 QUERIES = {
+    "op1_simhash_dedup": simhash.simhash_query,
+    "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
 }
 
 ORACLES = {
+    "op8_arc_to_warc": archive.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
 }
