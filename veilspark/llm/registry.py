@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import archive, mixing, simhash
+from . import archive, mixing, quality, simhash, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
+    "op2_quality_rules": quality.quality_query,
+    "op3_repair_tokens": tokens.tokens_query,
     "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
 }
