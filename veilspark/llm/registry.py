@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import archive, mixing, quality, simhash, tokens
+from . import archive, brown, decontaminate, mixing, quality, simhash, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
     "op2_quality_rules": quality.quality_query,
     "op3_repair_tokens": tokens.tokens_query,
+    "op4_spaced_seed_decontamination": decontaminate.decontaminate_query,
+    "op5_brown_lm": brown.lm_query,
     "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
 }
