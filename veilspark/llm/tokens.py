@@ -59,7 +59,7 @@ class WordEncoder:
         # white space is dropped by the pre-tokenizer and no step joins what it separates
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
         self.by_word &= all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec["added_tokens"]) and not any(c.isspace() for x in special for c in x)
-        self.model, self.known = self.tokenizer.model, {}
+        self.model, self.known, self.older = self.tokenizer.model, {}, {}
         self.alphabet = _byte_alphabet()
         self.tails = {}
 
@@ -98,9 +98,13 @@ class WordEncoder:
                         word = part[k]
                         ids = known.get(word)
                         if ids is None:
-                            if len(known) >= CACHE:
-                                known.clear()
-                            ids = known[word] = self._word(word)
+                            if len(known) >= CACHE:  # the words of the last CACHE first meetings stay within reach
+                                self.older, self.known = known, {}
+                                known = self.known
+                            ids = self.older.get(word)
+                            if ids is None:
+                                ids = self._word(word)
+                            known[word] = ids
                         got[k] = ids
             out.append(b"".join(got))
         return b"".join(out)
@@ -211,12 +215,21 @@ class Shard:
         return self._expand(self.seq[a:b])[start - before : stop - before]
 
 
+#: By file; a Python worker keeps them, and the words they know, for all its tasks.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _encoder_udf(path: str):
-    state = {}
 
     @F.arrow_udf(T.BinaryType())
     def encode(column: pa.Array) -> pa.Array:
-        encoder = state.get("e") or state.setdefault("e", WordEncoder(path))
+        encoder = encoder_of(path)
         end = np.array([END_ID], "<u4").tobytes()
         out = []
         for x in texts(column):
