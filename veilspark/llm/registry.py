@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, brown, decontaminate, mixing, quality, simhash, tokens
+from . import archive, brown, decontaminate, mixing, quality, recompress, simhash, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_repair_tokens": tokens.tokens_query,
     "op4_spaced_seed_decontamination": decontaminate.decontaminate_query,
     "op5_brown_lm": brown.lm_query,
+    "op6_recompression_dedup": recompress.substring_query,
     "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
 }
