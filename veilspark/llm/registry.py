@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, brown, decontaminate, mixing, quality, recompress, simhash, tokens
+from . import archive, brown, decontaminate, mixing, quality, recompress, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_recompression_dedup": recompress.substring_query,
     "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
+    "op10_suffix_sort_dedup": suffixes.suffix_query,
 }
 
 ORACLES = {
