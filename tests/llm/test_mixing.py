@@ -1,5 +1,8 @@
+import collections
+import random
+
 import duckdb
-import pandas as pd
+import pytest
 
 from veilspark.llm import mixing
 
@@ -21,10 +24,39 @@ def test_edges_and_oracle(spark):
     assert got == want
 
 
-def test_targets(spark):
-    sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10)], "source string, size long")
-    t = {r.source: r.target for r in mixing.source_targets(sized).collect()}
-    assert t["a"] == 20 and t["c"] == 20 and abs(t["b"] - (1530 - 40)) < 1e-6
+def reshared(sizes):
+    """Targets by sharing out again and again what is above twice a source's size."""
+    names = sorted(sizes)
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    rest, target, open_ = 1.5 * sum(sizes.values()), dict.fromkeys(names, 0.0), set(names)
+    while rest > 1e-9 and open_:
+        share = rest / sum(weight[n] for n in open_)
+        rest = 0.0
+        for n in sorted(open_):
+            target[n] += share * weight[n]
+            if target[n] >= 2 * sizes[n]:
+                rest += target[n] - 2 * sizes[n]
+                target[n] = 2.0 * sizes[n]
+                open_.discard(n)
+    return target
+
+
+def test_targets_and_taken(spark):
+    rng = random.Random(5)
+    for case in range(4):
+        sizes = {f"s{k:02d}": int(rng.choice([1, 10, 50, 400]) * rng.random() * 9) for k in range([3, 7, 20, 2][case])}
+        sized = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
+        assert got == pytest.approx(reshared(sizes), abs=1e-6), sizes
+    rows = [(i, "w " * rng.randint(1, 9), f"s{i % 5}" if i % 3 else "hot") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    target = reshared({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in {r[2] for r in rows}})
+    for s, t in target.items():
+        assert abs(sum(r.taken for r in out if r.source == s) - t) <= 9
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in out)
+    copies = collections.Counter(r.doc_id for r in mixing.apply(docs).collect())
+    assert copies == {r.doc_id: r.copies for r in out if r.copies}
 
 
 def test_empty(spark):

@@ -48,7 +48,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
         .withColumn("w_all", F.sum("w").over(all_rows))
         .withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before")))
     )
-    level = F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.col("level"))).over(all_rows)
+    # from the first source on that lambda doesn't fill, levels only fall: lambda is the largest of them
+    level = F.max(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.col("level"))).over(all_rows)
     per = per.withColumn("lambda", level)
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("lambda"), F.lit(0.0)) * F.col("w")).alias("target"))
 
@@ -76,19 +77,34 @@ def _thresholds(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     return last.select("s", "passes", F.when(take, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken (0, 1 or 2 times the size), copies."""
+def _plan(docs: DataFrame, weights, share) -> tuple[DataFrame, DataFrame, int]:
+    """(sizes and hashes of the rows; per source its size, target, passes and threshold; number of sources)."""
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("u")), "mix-sizes")
     plan = materialize(source_targets(sized, weights, share), "mix-plan")
     n_sources = plan.count()
     cut = _thresholds(sized, plan, n_sources)
     plan = plan.withColumnRenamed("source", "p_source").join(cut, F.col("p_source").eqNullSafe(F.col("s"))).drop("s")
-    copies = F.col("passes") + (F.col("u") <= F.col("threshold")).cast("long")
-    return (
-        sized.join(small_side(plan, n_sources), F.col("source").eqNullSafe(F.col("p_source")))
-        .withColumn("copies", F.least(copies, F.lit(REPEAT)))
-        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "u")
-    )
+    return sized, plan, n_sources
+
+
+def _copies(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` (source, u) with its source's plan and how often the mix takes the row. A large plan is joined by a shuffle, whose hot source AQE splits."""
+    joined = rows.join(small_side(plan, n_sources), F.col("source").eqNullSafe(F.col("p_source")))
+    return joined.withColumn("copies", F.least(F.col("passes") + (F.col("u") <= F.col("threshold")).cast("long"), F.lit(REPEAT)))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken (0, 1 or 2 times the size), source, copies."""
+    sized, plan, n_sources = _plan(docs, weights, share)
+    return _copies(sized, plan, n_sources).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def apply(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: a filter by thresholds, no shuffle of texts."""
+    _, plan, n_sources = _plan(docs, weights, share)
+    plan = plan.select("p_source", "passes", "threshold")
+    rows = _copies(docs.withColumn("u", _hash(F.col("doc_id"))), plan, n_sources).where("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +121,7 @@ c AS (SELECT *, [3, 1, 2][((rank - 1) % 3 + 1)::INT] AS w, 2 * source_size AS ca
 l AS (
   SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)::DOUBLE) / ((sum(w) OVER ()) - coalesce(sum(w) OVER o, 0))::DOUBLE AS level
   FROM c WINDOW o AS (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(min(CASE WHEN cap::DOUBLE / w >= level THEN level END) OVER (), 0) * w) AS target FROM l),
+t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(max(CASE WHEN cap::DOUBLE / w >= level THEN level END) OVER (), 0) * w) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
 g AS (
   SELECT source, u, sum(size)::BIGINT AS own, sum(sum(size)) OVER (PARTITION BY source ORDER BY u)::BIGINT AS upto FROM d GROUP BY source, u),
