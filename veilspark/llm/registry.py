@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, brown, decontaminate, mixing, quality, recompress, simhash, suffixes, tokens
+from . import archive, brown, decontaminate, htmltext, mixing, quality, recompress, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_spaced_seed_decontamination": decontaminate.decontaminate_query,
     "op5_brown_lm": brown.lm_query,
     "op6_recompression_dedup": recompress.substring_query,
+    "op7_tree_model_html": htmltext.html_query,
     "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
     "op10_suffix_sort_dedup": suffixes.suffix_query,
