@@ -51,3 +51,8 @@ def test_against_all_windows(spark, seed):
 
 def test_empty(spark):
     assert recompress.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nothing_shared(spark):
+    got = {r.doc_id: r.n_removed for r in recompress.remove_repeats(spark.createDataFrame([(1, "a b c"), (2, "q " * 9 + "x y z " * 9), (3, "x")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 24, 3: 0}

@@ -79,3 +79,8 @@ def test_suffix_sort(monkeypatch):
 
 def test_empty(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nothing_shared(spark):
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(spark.createDataFrame([(1, "a" * 500), (2, "bc" * 300), (3, "x")], "doc_id long, text string")).collect()}
+    assert got == {1: 500, 2: 600, 3: 0}

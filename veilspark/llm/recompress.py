@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .textgroups import WORD_POWERS, WORD_POWERS_2, Groups, Prefix, bucket_of, cut, mix, planes, unplanes, words_of
+from .textgroups import WORD_POWERS, WORD_POWERS_2, Groups, Prefix, bucket_of, cut, mix, parts, planes, unplanes, words_of
 
 WINDOW, CENTER = 20, 10
 #: Longest symbol that a round may join, per round.
@@ -158,8 +158,7 @@ def _later_windows(table: pa.Table) -> pa.Table:
     h1, h2, g = h1[later], h2[later], g[later]
     order = np.argsort(g, kind="stable")
     h1, h2, g = h1[order], h2[order], g[order]
-    edges = np.nonzero(np.r_[True, g[1:] != g[:-1]])[0] if len(g) else np.zeros(0, np.int64)
-    return _rows(_LATER, [(int(g[a]), h1[a:b].tobytes(), h2[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(g)], strict=True)])
+    return _rows(_LATER, [(k, h1[s].tobytes(), h2[s].tobytes()) for k, s in parts(g)])
 
 
 _RESULT = pa.schema([("key", pa.binary()), ("first_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])

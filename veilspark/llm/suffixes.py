@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .textgroups import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, Groups, Prefix, bucket_of, cut, mix
+from .textgroups import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, Groups, Prefix, bucket_of, cut, mix, parts
 
 MATCH, K = 400, 100
 REACH = MATCH - K
@@ -147,8 +147,7 @@ def _unpack(table: pa.Table, names=("keys", "contexts"), last="state"):
 def _by_group(b: int, g, key, context, state) -> pa.Table:
     order = np.argsort(g, kind="stable")
     g, key, context, state = g[order], key[order], context[order], state[order]
-    edges = np.nonzero(np.r_[True, g[1:] != g[:-1]])[0].tolist() if len(g) else []
-    return _table(_PAIRS, [(b, int(g[x]), key[x:y].tobytes(), context[x:y].tobytes(), state[x:y].astype(np.uint8).tobytes()) for x, y in zip(edges, [*edges[1:], len(g)], strict=True)])
+    return _table(_PAIRS, [(b, k, key[s].tobytes(), context[s].tobytes(), state[s].astype(np.uint8).tobytes()) for k, s in parts(g)])
 
 
 def _runs(*columns) -> np.ndarray:
@@ -346,8 +345,7 @@ def _sort_contexts(table: pa.Table) -> pa.Table:
     found = found[np.argsort(g[found], kind="stable")]
     g, key, context = g[found], key[found], context[found]
     cover = np.stack([before[found], after[found]], 1).astype(np.uint16)
-    edges = np.nonzero(np.r_[True, g[1:] != g[:-1]])[0].tolist() if len(g) else []
-    return _table(_COVER, [(int(g[x]), 1, key[x:y].tobytes(), context[x:y].tobytes(), cover[x:y].tobytes()) for x, y in zip(edges, [*edges[1:], len(g)], strict=True)])
+    return _table(_COVER, [(k, 1, key[s].tobytes(), context[s].tobytes(), cover[s].tobytes()) for k, s in parts(g)])
 
 
 _WINDOWS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("more", pa.binary())])
@@ -395,8 +393,7 @@ def _repeated_windows(table: pa.Table) -> pa.Table:
     g, h1, h2 = g[said], h1[said], h2[said]
     order = np.argsort(g, kind="stable")
     g, h1, h2 = g[order], h1[order], h2[order]
-    edges = np.nonzero(np.r_[True, g[1:] != g[:-1]])[0].tolist() if len(g) else []
-    return _table(_COVER, [(int(g[x]), 2, h1[x:y].tobytes(), h2[x:y].tobytes(), b"") for x, y in zip(edges, [*edges[1:], len(g)], strict=True)])
+    return _table(_COVER, [(k, 2, h1[s].tobytes(), h2[s].tobytes(), b"") for k, s in parts(g)])
 
 
 _RESULT = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])

@@ -207,3 +207,11 @@ def planes(values: np.ndarray) -> bytes:
 def unplanes(data: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def parts(g: np.ndarray) -> list[tuple[int, slice]]:
+    """(value, slice) of every run of the sorted ``g``."""
+    if not len(g):
+        return []
+    edges = [0, *(np.nonzero(g[1:] != g[:-1])[0] + 1).tolist(), len(g)]
+    return [(int(g[a]), slice(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
