@@ -16,7 +16,7 @@ def luhn(text: Column) -> Column:
     d = F.reverse(digits(text))
     doubled = F.transform(
         F.split(d, "(?<=.)(?=.)"),
-        lambda c, i: F.when(i % 2 == 1, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")),
+        lambda c, i: F.when(i % 2 == 1, c.try_cast("int") * 2 - F.when(c.try_cast("int") > 4, 9).otherwise(0)).otherwise(c.try_cast("int")),
     )
     return F.length(d).between(13, 19) & (F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0)
 
@@ -27,7 +27,7 @@ def card(text: Column) -> Column:
     n = F.length(d)
 
     def head(k: int) -> Column:
-        return F.substring(d, 1, k).cast("int")
+        return F.substring(d, 1, k).try_cast("int")
 
     network = (
         ((n == 16) & ((head(1) == 4) | head(2).between(51, 55) | head(4).between(2221, 2720) | (head(4) == 6011) | (head(2) == 65)))
@@ -81,7 +81,7 @@ def softmax_stats(logits: Column) -> Column:
     top = F.array_max(logits)
     total = F.aggregate(logits, F.lit(0.0), lambda a, z: a + F.exp(z - top))
     weighted = F.aggregate(logits, F.lit(0.0), lambda a, z: a + (z - top) * F.exp(z - top))
-    return F.struct((F.log(total) - weighted / total).alias("entropy"), (1 / total).alias("confidence"), (F.array_position(logits, top) - 1).cast("int").alias("pred"))
+    return F.struct((F.log(total) - weighted / total).alias("entropy"), (1 / total).alias("confidence"), (F.array_position(logits, top) - 1).try_cast("int").alias("pred"))
 
 
 def normalized_entropy(entropy: Column, n_classes: Column) -> Column:
