@@ -49,7 +49,13 @@ def with_matches(docs: DataFrame, text: str = "text", patterns=PATTERNS) -> Data
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per match: key, priority, class, s, e, match, valid, force."""
-    return with_matches(docs.select(key, text), text).select(key, F.explode("matches").alias("m")).select(key, "m.*")
+    return exploded(with_matches(docs.select(key, text), text), F.col("matches"), key).select(key, "m.*")
+
+
+def exploded(df: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """(keep, m): one row per element. Outer, then without nulls: of a plain explode Catalyst infers a filter on the array and
+    computes the array, here the pattern search, once more for it."""
+    return df.select(*keep, F.explode_outer(found).alias("m")).where("m is not null")
 
 
 def hints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

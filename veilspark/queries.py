@@ -126,7 +126,8 @@ def conversation_turn_pii(spark, d):
 
 @query("pattern_hits_by_class_lang", f"WITH {DOCS} SELECT class, lang, count(*) AS n, sum(valid::INT)::BIGINT AS n_valid, count(DISTINCT m.doc_id) AS n_docs FROM m JOIN documents USING (doc_id) GROUP BY ALL")
 def pattern_hits_by_class_lang(spark, d):
-    rows = detect.with_matches(read(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.explode("matches").alias("m"))
+    rows = detect.with_matches(read(spark, d, "documents").select("doc_id", "lang", "text"))
+    rows = detect.exploded(rows, F.col("matches"), "doc_id", "lang")
     return rows.groupBy("m.class", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m.valid").cast("long")).alias("n_valid"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -200,7 +201,7 @@ def sliding_windows(spark, d):
 @query("context_windows")
 def context_windows(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return detect.with_matches(docs).select("doc_id", "text", F.explode("matches").alias("m")).select("doc_id", "m.s", "m.class", fn.context(F.col("text"), F.col("m.s"), F.col("m.e")).alias("context"))
+    return detect.exploded(detect.with_matches(docs), F.col("matches"), "doc_id", "text").select("doc_id", "m.s", "m.class", fn.context(F.col("text"), F.col("m.s"), F.col("m.e")).alias("context"))
 
 
 @query("checksum_flags", f"WITH {DOCS} SELECT class, match, count(*) AS n, bool_or(valid) AS valid FROM m WHERE class IN ('CREDITCARDNUMBER', 'SOCIALNUM') GROUP BY ALL")

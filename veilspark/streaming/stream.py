@@ -17,7 +17,7 @@ def redact_stream(docs: DataFrame) -> DataFrame:
 
 def match_counts(docs: DataFrame, time: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Matches by class and window of event time; windows close after the watermark."""
-    found = detect.with_matches(docs).select(time, F.explode("matches").alias("m")).where("m.valid")
+    found = detect.exploded(detect.with_matches(docs), F.col("matches"), time).where("m.valid")
     return found.withWatermark(time, late).groupBy(F.window(time, window), F.col("m.class").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
