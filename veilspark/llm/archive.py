@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read
+from .common import delete_at_exit, new_path, read
 
 #: Payloads below this many bytes are always stored.
 MIN_REVISIT = 100
@@ -178,6 +178,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
+    delete_at_exit(spark, path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

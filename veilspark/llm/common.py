@@ -35,11 +35,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that survive a lost executor."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._veil_path = path
     return out
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a work table when it ends; until then results may still read it."""
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     path = getattr(df, "_veil_path", None)

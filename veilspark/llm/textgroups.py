@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import delete_at_exit, materialize, shared_dir
 
 #: doc_id of rows without one: after all others.
 NO_ID = (1 << 63) - 1
@@ -160,7 +160,9 @@ class Groups:
         dealt = rows.select("g", "key", "first_id", "text").mapInArrow(_map_side, _TEXTS).repartition(self.buckets, "g")
         texts = dealt.sortWithinPartitions("g", "key", F.col("text").isNull()).mapInArrow(_first_of_key, _TEXTS)
         name = f"veil_{label}_{uuid.uuid4().hex}".replace("-", "_")
-        texts.write.bucketBy(self.buckets, "g").option("path", f"{shared_dir(spark)}/veilspark/{name}").option("compression", "zstd").saveAsTable(name)
+        path = f"{shared_dir(spark)}/veilspark/{name}"
+        texts.write.bucketBy(self.buckets, "g").option("path", path).option("compression", "zstd").saveAsTable(name)
+        delete_at_exit(spark, path)
         self.texts = spark.table(name)
 
     def look(self, function, schema: str) -> DataFrame:
