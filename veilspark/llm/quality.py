@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, read, small_side, texts
 
-ALPHA, DELTA, COST = 0.01, 0.05, 20
+ALPHA, DELTA, COST = 0.05, 0.05, 20
 MIN_WORDS = 50
 RULES = ("symbols", "dup_lines", "repeats", "word_length", "capitals", "bangs")
 #: Scores are in thousandths; one grid for all rules, most lenient first. A score above the last value exceeds every cutoff.
