@@ -15,7 +15,7 @@ from .functions import columns as fn
 from .functions.registry import CLASS_ALIASES, NEMOTRON_EXCLUDED, NEMOTRON_FULL, PATTERNS, PII_CLASSES, PII_THRESHOLDS, UNIFIED, RouteConfig
 from .operators import arbiter, calibrate, correct, detect, evaluate, route
 from .operators import tokens as tk
-from .plans import pipeline
+from .plans import experiments, pipeline
 from .sources import adapters, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -698,3 +698,32 @@ def system_hybrid_v2_labels(spark, d):
 @query("tester_entities")
 def tester_entities(spark, d):
     return pipeline.entity_rows(scored(spark, d))
+
+
+@query("failed_sample_fallback", f"WITH {TOK} SELECT sample_id, idx, gold, CASE WHEN sample_id % 4 = 1 THEN 'O' ELSE pred END AS pred FROM tok")
+def failed_sample_fallback(spark, d):
+    tokens = scored(spark, d)
+    return experiments.backfill(tokens.select("sample_id", "idx", "gold"), tokens.where("sample_id % 4 <> 1")).select("sample_id", "idx", "gold", "pred")
+
+
+_VARIANT_F1 = f"""WITH {TOK}, v(variant, et, ct) AS (VALUES ('never_route', 1e9, -1.0), ('always_route', -1.0, 2.0), ('entropy_only', 0.583, 2.0), ('confidence_only', -1.0, 0.787), ('full_system', 0.583, 0.787)),
+x AS (SELECT variant, gold, CASE WHEN entropy > et AND confidence < ct AND (pred <> 'O' OR entropy > 1.5 * et) THEN CASE WHEN sample_id % 2 = 0 THEN gold ELSE 'O' END ELSE pred END AS pred FROM tok, v),
+c AS (SELECT variant, sum((gold = pred AND gold <> 'O')::INT) AS tp, sum((gold <> 'O')::INT) AS g, sum((pred <> 'O')::INT) AS p FROM x GROUP BY variant)
+SELECT variant, round(tp / p, 8) AS precision, round(tp / g, 8) AS recall, round(2 * tp / (p + g), 8) AS f1 FROM c"""
+
+
+@query("ablation_scores", _VARIANT_F1)
+def ablation_scores(spark, d):
+    tokens = scored(spark, d).withColumn("fixed", F.expr("CASE WHEN sample_id % 2 = 0 THEN gold ELSE 'O' END"))
+    return _round(experiments.ablation(tokens).where("average = 'micro'"), "precision", "recall", "f1").select("variant", "precision", "recall", "f1")
+
+
+@query("system_dataset_runs", "SELECT system, dataset FROM (SELECT DISTINCT event_type AS system FROM events), (SELECT DISTINCT lang AS dataset FROM documents)")
+def system_dataset_runs(spark, d):
+    return experiments.combinations(read(spark, d, "events").select(F.col("event_type").alias("system")).distinct(), read(spark, d, "documents").select(F.col("lang").alias("dataset")).distinct())
+
+
+@query("significance_by_domain")
+def significance_by_domain(spark, d):
+    words = scored(spark, d).select("sample_id", "idx", "gold", F.col("pred").alias("a"), F.expr(_HYBRID).alias("b"))
+    return experiments.significance({"even": words.where("sample_id % 2 = 0"), "all": words}, 400)
