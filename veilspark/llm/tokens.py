@@ -13,9 +13,10 @@ themselves; null doc_ids come first. An empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
-import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ STRIDE = 1024
 #: Words a task keeps.
 CACHE = 300_000
 MAGIC = b"RPR1"
+#: Letters that NFC leaves alone and whose lower case is one letter, whoever computes it.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -67,19 +70,19 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        """A run of Latin letters, perhaps before a full stop or comma, is a piece of its own: straight to the model."""
-        text = word.decode()
-        tail = text[-1] if text[-1] in ".," else ""
-        body = unicodedata.normalize("NFC", text[:-1] if tail else text)
-        if not body.isalpha() or max(body) > "ɏ" or "İ" in body:
-            return self._encode(text)
-        body = body.lower()
-        if not body.isascii():
-            body = body.encode().decode("latin-1").translate(self.alphabet)
-        ids = np.array([t.id for t in self.model.tokenize(body)], "<u4").tobytes()
+        """A run of Latin letters, perhaps before a full stop or comma, is a piece of its own, and normal as it is: straight to the model."""
+        body, tail = (word[:-1], word[-1:]) if word[-1] in b".," else (word, b"")
+        if body.isalpha():
+            piece = body.lower().decode()
+        else:
+            text = body.decode()
+            if not _LATIN.fullmatch(text):
+                return self._encode(word.decode())
+            piece = text.lower().encode().decode("latin-1").translate(self.alphabet)
+        ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
         if tail:
             if tail not in self.tails:
-                self.tails[tail] = self._encode(tail)
+                self.tails[tail] = self._encode(tail.decode())
             ids += self.tails[tail]
         return ids
 
@@ -92,20 +95,23 @@ class WordEncoder:
         for at in range(0, len(words), 1 << 16):
             part = words[at : at + (1 << 16)]
             got = [known.get(w) for w in part]
-            if None in got:
-                for k, ids in enumerate(got):
+            k = got.index(None) if None in got else -1
+            while k >= 0:
+                word = part[k]
+                ids = known.get(word)
+                if ids is None:
+                    if len(known) >= CACHE:  # the words of the last CACHE first meetings stay within reach
+                        self.older, self.known = known, {}
+                        known = self.known
+                    ids = self.older.get(word)
                     if ids is None:
-                        word = part[k]
-                        ids = known.get(word)
-                        if ids is None:
-                            if len(known) >= CACHE:  # the words of the last CACHE first meetings stay within reach
-                                self.older, self.known = known, {}
-                                known = self.known
-                            ids = self.older.get(word)
-                            if ids is None:
-                                ids = self._word(word)
-                            known[word] = ids
-                        got[k] = ids
+                        ids = self._word(word)
+                    known[word] = ids
+                got[k] = ids
+                try:
+                    k = got.index(None, k + 1)
+                except ValueError:
+                    k = -1
             out.append(b"".join(got))
         return b"".join(out)
 
