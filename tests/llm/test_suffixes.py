@@ -84,3 +84,19 @@ def test_empty(spark):
 def test_nothing_shared(spark):
     got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(spark.createDataFrame([(1, "a" * 500), (2, "bc" * 300), (3, "x")], "doc_id long, text string")).collect()}
     assert got == {1: 500, 2: 600, 3: 0}
+
+
+def test_windows_around_two_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefgh ", k=n))
+
+    # every text has the passage, no text has a window of 400 bytes in common with another
+    passage = noise(390)
+    rows = [(i, noise(rng.randint(200, 500)) + passage + noise(rng.randint(200, 500))) for i in range(40)]
+    want = brute(rows)
+    assert all(n_removed == 0 for _, _, n_removed, _, _ in want)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want

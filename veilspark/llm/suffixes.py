@@ -59,16 +59,16 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Anchors of the texts of a group, in order: text, at (byte of the text), left, right (bytes of context), key, context."""
 
-    def __init__(self, all_texts: list[bytes]):
+    def __init__(self, all_texts: list[bytes], block: int):
         parts = []
         at = 0
         while at < len(all_texts):
             end, size = at, 0
-            while end < len(all_texts) and (end == at or size + len(all_texts[end]) <= BLOCK):
+            while end < len(all_texts) and (end == at or size + len(all_texts[end]) <= block):
                 size += len(all_texts[end])
                 end += 1
             # a very long text is looked at in pieces that overlap by a context on either side
-            piece = BLOCK if end == at + 1 else size
+            piece = block if end == at + 1 else size
             for start in range(0, max(1, size), max(1, piece)):
                 parts.append(self._block(all_texts[at:end], at, start, piece))
             at = end
@@ -121,11 +121,11 @@ _PAIRS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()),
 FULL, SEND, SEND_WINDOWS = 1, 2, 4
 
 
-def _send_keys(n: int):
+def _send_keys(n: int, block: int):
     """Distinct (key, context) of a group; state FULL if the group itself has the context twice."""
 
     def run(g, keys, ids, data):
-        a = Anchors(data)
+        a = Anchors(data, block)
         order = np.lexsort((a.context, a.key))
         key, context = a.key[order], a.context[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])] if len(key) else np.zeros(0, bool)
@@ -158,21 +158,25 @@ def _runs(*columns) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _state_of(table: pa.Table) -> pa.Table:
+def _state_of(most: int):
     """What each group has to do with its (key, context): nothing comes back for keys that occur once."""
-    g, key, context, state = _unpack(table)
-    order = np.lexsort((g, context, key))
-    g, key, context, state = g[order], key[order], context[order], state[order]
-    of_key, of_context = _runs(key), _runs(key, context)
-    full = np.bincount(of_context, 1 + (state > 0)) > 1
-    first = np.r_[True, of_context[1:] != of_context[:-1]]
-    n_contexts = np.bincount(of_key[first])
-    n_open = np.bincount(of_key[first], ~full[of_context[first]], minlength=len(n_contexts))
-    mixed = (n_contexts > 1) & (n_open > 0)
-    hot = mixed & (n_contexts > HOT)
-    state = full[of_context] * FULL + (mixed & ~hot)[of_key] * first * SEND + hot[of_key] * SEND_WINDOWS
-    said = state > 0
-    return _by_group(table["b"][0].as_py(), g[said], key[said], context[said], state[said])
+
+    def run(table: pa.Table) -> pa.Table:
+        g, key, context, state = _unpack(table)
+        order = np.lexsort((g, context, key))
+        g, key, context, state = g[order], key[order], context[order], state[order]
+        of_key, of_context = _runs(key), _runs(key, context)
+        full = np.bincount(of_context, 1 + (state > 0)) > 1
+        first = np.r_[True, of_context[1:] != of_context[:-1]]
+        n_contexts = np.bincount(of_key[first])
+        n_open = np.bincount(of_key[first], ~full[of_context[first]], minlength=len(n_contexts))
+        mixed = (n_contexts > 1) & (n_open > 0)
+        hot = mixed & (n_contexts > most)
+        state = full[of_context] * FULL + (mixed & ~hot)[of_key] * first * SEND + hot[of_key] * SEND_WINDOWS
+        said = state > 0
+        return _by_group(table["b"][0].as_py(), g[said], key[said], context[said], state[said])
+
+    return run
 
 
 def _find(key, context, keys, contexts, states) -> np.ndarray:
@@ -188,13 +192,13 @@ def _find(key, context, keys, contexts, states) -> np.ndarray:
 _CONTEXTS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("contexts", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())])
 
 
-def _send_contexts(n: int):
+def _send_contexts(n: int, block: int):
     import zstandard
 
     def run(g, keys, ids, data, said):
         if not data or not len(said):
             return _table(_CONTEXTS, [])
-        a = Anchors(data)
+        a = Anchors(data, block)
         _, k, c, s = _unpack(said)
         a._take(np.nonzero(_find(a.key, a.context, k, c, s) & SEND)[0])
         order = np.lexsort((a.context, a.key))
@@ -363,17 +367,22 @@ def _hot_windows(a: Anchors, hot: np.ndarray, data: list[bytes]):
         yield k, offsets, Prefix(BYTE_VALUES[raw], BYTE_POWERS).of(begin, begin + MATCH), Prefix(_SECOND[raw], WORD_POWERS).of(begin, begin + MATCH)
 
 
-def _send_windows(n: int):
+def _send_windows(n: int, block: int):
     def run(g, keys, ids, data, said):
         if not data or not len(said):
             return _table(_WINDOWS, [])
-        a = Anchors(data)
+        a = Anchors(data, block)
         _, k, c, s = _unpack(said)
         hot = np.nonzero(_find(a.key, a.context, k, c, s) & SEND_WINDOWS)[0]
-        parts = [(h1, h2) for _, _, h1, h2 in _hot_windows(a, hot, data)]
+        parts = [(np.full(len(offsets), a.text[k]), a.at[k] - offsets, h1, h2) for k, offsets, h1, h2 in _hot_windows(a, hot, data)]
         if not parts:
             return _table(_WINDOWS, [])
-        h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        text, start, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # a window around several hot anchors is still one occurrence
+        order = np.lexsort((start, text))
+        text, start, h1, h2 = text[order], start[order], h1[order], h2[order]
+        own = np.r_[True, (text[1:] != text[:-1]) | (start[1:] != start[:-1])]
+        h1, h2 = h1[own], h2[own]
         order = np.lexsort((h2, h1))
         h1, h2 = h1[order], h2[order]
         at = np.nonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[0]
@@ -399,13 +408,13 @@ def _repeated_windows(table: pa.Table) -> pa.Table:
 _RESULT = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def _remove(with_bytes: bool):
+def _remove(with_bytes: bool, block: int):
     def run(g, keys, ids, data, said):
         if not data:
             return _table(_RESULT, [])
         spans: list[list] = [[] for _ in data]
         if len(said):
-            a = Anchors(data)
+            a = Anchors(data, block)
             kinds = np.array(said["kind"].to_pylist())
             full = said.filter(pa.array(kinds == 0))
             before, after = np.zeros(len(a.key), np.int64), np.zeros(len(a.key), np.int64)
@@ -457,15 +466,15 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs`` (doc_id, text); ``with_bytes``: kept, too."""
     groups = Groups(docs, "suffixes")
     n = groups.buckets
-    pairs = groups.look(_send_keys(n), _ddl(_PAIRS))
-    states = materialize(pairs.groupBy("b").applyInArrow(_state_of, _ddl(_PAIRS)), "suffixes-states")
-    contexts = groups.look_with(states, _send_contexts(n), _ddl(_CONTEXTS))
+    pairs = groups.look(_send_keys(n, BLOCK), _ddl(_PAIRS))
+    states = materialize(pairs.groupBy("b").applyInArrow(_state_of(HOT), _ddl(_PAIRS)), "suffixes-states")
+    contexts = groups.look_with(states, _send_contexts(n, BLOCK), _ddl(_CONTEXTS))
     sorted_ = contexts.groupBy("b").applyInArrow(_sort_contexts, _ddl(_COVER))
     said = states.select("g", F.lit(0).cast("long").alias("kind"), "keys", "contexts", F.col("state").alias("cover")).unionByName(sorted_)
     if hot_keys(states):
-        windows = groups.look_with(states, _send_windows(n), _ddl(_WINDOWS))
+        windows = groups.look_with(states, _send_windows(n, BLOCK), _ddl(_WINDOWS))
         said = said.unionByName(windows.groupBy("b").applyInArrow(_repeated_windows, _ddl(_COVER)))
-    per_text = materialize(groups.look_with(said, _remove(with_bytes), _ddl(_RESULT)), "suffixes-texts")
+    per_text = materialize(groups.look_with(said, _remove(with_bytes, BLOCK), _ddl(_RESULT)), "suffixes-texts")
     copies = groups.rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     per_text = per_text.join(copies, "key", "left")
     gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= MATCH)
