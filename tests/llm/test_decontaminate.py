@@ -61,3 +61,25 @@ def test_empty(spark):
     assert d.leaks(none, items).count() == 0
     assert d.leaks(one, items.where("false")).count() == 0
     assert d.leaks(one, items).count() == 1
+
+
+def test_whole_masks_leave_one_unharmed():
+    for n in range(d.MIN_WORDS, d.STRETCH):
+        for bad in itertools.combinations(range(n), int(n - d.SHARE * n + 1e-9)):
+            assert any(not set(m) & set(bad) for m in d.whole_masks(n)), (n, bad)
+
+
+def test_short_items_with_substitutions(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(5, 14)]
+    docs, want = [], set()
+    for n, text in items:
+        allowed = 1 if n < 10 else 2
+        for count in range(allowed + 2):
+            for bad in itertools.combinations(range(n), count):
+                words = ["x" if k in bad else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before", *words, "after"])))
+                if count <= allowed:
+                    want.add((docs[-1][0], n))
+    got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.start == 1 and r.best_stretch == r.n_equal for r in got)

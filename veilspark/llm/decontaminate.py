@@ -4,8 +4,9 @@ A seed is a fixed mask over SPAN words: the hash of the words at its kept positi
 ignored position doesn't matter. Seeds of the benchmark items are joined with those of the documents; each hit fixes an
 alignment of document and item, on which the words are compared. A leak is an alignment with a stretch of
 min(STRETCH, item length) neighbouring words of which SHARE are equal. MASKS are chosen so that any stretch of STRETCH
-words with up to two substitutions contains one of them unharmed. Items of MIN_WORDS to SPAN - 1 words are looked for
-as a whole; shorter ones identify nothing and are left out.
+words with up to two substitutions contains one of them unharmed. Items of MIN_WORDS to STRETCH - 1 words are looked for
+as a whole, by masks of their own length (``whole_masks``) of which every pattern of substitutions that SHARE allows leaves
+one unharmed; shorter ones identify nothing and are left out.
 
 Words are runs without ASCII white space, compared in lower case. Null texts have no words. A null doc_id is kept as null;
 repeated rows give one result. Benchmark rows with the same item_id but other texts are items of their own. Empty tables
@@ -14,6 +15,9 @@ give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +35,29 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _seeds(hashes: Column, n: Column, masks) -> Column:
-    """An array of all seed hashes, mask after mask: n of each mask, null where the mask runs over the end."""
+def whole_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of ``n`` words: the words are dealt to two blocks more than substitutions are allowed, a mask keeps two of the blocks."""
+    blocks = n - math.ceil(SHARE * n) + 2
+    return [tuple(k for k in range(n) if k % blocks in kept) for kept in itertools.combinations(range(blocks), 2)]
+
+
+def _seeds(hashes: Column, n: Column, masks, whole: bool) -> Column:
+    """An array of all seed hashes, mask after mask: n of each mask, null where the item of the mask runs over the end. Masks are
+    (length of the items they are for, at least STRETCH for all longer ones; kept positions). ``whole``: only the seeds of those items."""
 
-    def of(k: int, mask) -> Column:
+    def of(k: int, length: int, mask) -> Column:
         kept = [lambda i, o=o: F.get(hashes, i + o) for o in mask]
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i + mask[-1] < n, F.xxhash64(F.lit(k), *[g(i) for g in kept])))
+        end = mask[-1] if length >= STRETCH else length - 1
+        own = (n >= STRETCH if length >= STRETCH else n == length) if whole else F.lit(True)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(own & (i + end < n), F.xxhash64(F.lit(k), *[g(i) for g in kept])))
 
-    return F.concat(*[of(k, m) for k, m in enumerate(masks)])
+    return F.concat(*[of(k, length, m) for k, (length, m) in enumerate(masks)])
 
 
-def _exploded(df: DataFrame, keep: list[str], masks) -> DataFrame:
+def _exploded(df: DataFrame, keep: list[str], masks, whole: bool) -> DataFrame:
     """(keep, pos, h): every seed of the rows of ``df`` (words)."""
     hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("_hs"), F.size("words").alias("_n")).where("_n > 0")
-    rows = hashed.select(*keep, "_n", F.posexplode(_seeds(F.col("_hs"), F.col("_n"), masks)).alias("_at", "h"))
+    rows = hashed.select(*keep, "_n", F.posexplode(_seeds(F.col("_hs"), F.col("_n"), masks, whole)).alias("_at", "h"))
     return rows.where("h is not null").select(*keep, (F.col("_at") % F.col("_n")).alias("pos"), "h")
 
 
@@ -54,14 +67,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     uid = F.xxhash64("doc_id", "text")
     items = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("iuid"), _words(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS)
     items = materialize(items.dropDuplicates(["iuid"]), "leak-items")
-    lengths = [r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect()]
-    masks = MASKS + tuple(tuple(range(n)) for n in sorted(lengths))
-    seeds = _exploded(items, ["iuid"], masks).select("iuid", F.col("pos").alias("item_pos"), "h")
+    lengths = [r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < STRETCH).distinct().collect()]
+    masks = [(STRETCH, m) for m in MASKS] + [(n, m) for n in sorted(lengths) for m in whole_masks(n)]
+    seeds = _exploded(items, ["iuid"], masks, True).select("iuid", F.col("pos").alias("item_pos"), "h")
     seeds = materialize(seeds, "leak-seeds")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     texts = docs.select("doc_id", "text", uid.alias("uid")).withColumn("words", _words(F.col("text")))
-    hits = _exploded(texts, ["uid"], masks).join(seeds, "h").select("uid", "iuid", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = _exploded(texts, ["uid"], masks, False).join(seeds, "h").select("uid", "iuid", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = materialize(hits, "leak-hits")
     asked = hits.select("uid").distinct()
     few = asked.count()
