@@ -58,3 +58,17 @@ def test_pages(spark):
 
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute(quote):
+    value = "<p>no</p>" * 10_000
+    p = h.Page(f"<article><div data-state={quote}{value}{quote}><p>yes</p></div></article>")
+    assert p.tags == ["#root", "article", "div", "p"] and value in p.attrs[2]
+    assert [t for _, t in filter(None, p.pieces)] == ["yes"]
+
+
+def test_tags_without_an_end_are_read_once():
+    # the lone quote makes every tag's search for its end fail
+    p = h.Page('<b x=">" ' * 40_000 + "'")
+    assert len(p.tags) > 40_000

@@ -40,10 +40,10 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)",
     re.S,
 )
+_UNQUOTED = re.compile(r"[^>\"']*+")
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -54,6 +54,7 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parents, self.attrs, self.depths = ["#root"], [-1], [""], [0]
         self.pieces: list[tuple[int, str] | None] = []
+        self._dead: set[int] = set()
         stack, at, end = [0], 0, len(source)
         silent = 0
         while at < end:
@@ -67,10 +68,11 @@ class Page:
             if m is None:
                 break
             at = m.end()
-            tag = m["tag"] or m["tag2"]
+            tag = m["tag"]
             if tag is None:
                 continue
-            tag, closing = tag.lower(), bool(m["end"] or m["end2"])
+            tag, closing = tag.lower(), bool(m["end"])
+            close, at = self._tag_end(source, at)
             if tag == "br":
                 self.pieces.append((stack[-1], " "))
                 continue
@@ -101,7 +103,7 @@ class Page:
             self.tags.append(tag)
             self.parents.append(stack[-1])
             self.depths.append(self.depths[stack[-1]] + 1)
-            attrs = m["attrs"] or m["attrs2"] or ""
+            attrs = source[m.end() : close]
             self.attrs.append(attrs)
             if tag in VOID:
                 continue
@@ -115,6 +117,23 @@ class Page:
                 stack.append(node)
                 silent += tag in SILENT
 
+    def _tag_end(self, source: str, start: int) -> tuple[int, int]:
+        """Where the attributes from ``start`` on end, and the tag: at the first > outside quotes, or at the first at all if there is none.
+        Quotes from which no such > was found are remembered, so a page is looked through once however many tags lack one."""
+        at, opened = start, []
+        while (at := _UNQUOTED.match(source, at).end()) < len(source):
+            if source[at] == ">":
+                return at, at + 1
+            if at in self._dead:
+                break
+            opened.append(at)
+            at = source.find(source[at], at + 1) + 1
+            if not at:
+                break
+        self._dead.update(opened)
+        at = source.find(">", start)
+        return (at, at + 1) if at >= 0 else (len(source), len(source))
+
     def _end(self, stack: list[int], what, stop) -> None:
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
