@@ -9,6 +9,7 @@ from veilspark.functions.registry import PII_CLASSES, RouteConfig
 from veilspark.operators import arbiter, calibrate, correct, evaluate, route
 from veilspark.operators import tokens as tk
 from veilspark.plans import pipeline
+from veilspark.queries import QUERIES
 
 
 def sequence(spark, labels, **more):
@@ -145,3 +146,11 @@ def test_grid(spark):
         hit = [x for x in rows if x[0] > c.ent_th and x[1] < c.conf_th]
         assert (c.triggered, c.hits) == (len(hit), sum(x[2] for x in hit))
     assert len(cells) == 36
+
+
+@pytest.mark.parametrize("name", ["system_base_labels", "system_hybrid_v1_labels", "system_hybrid_v2_labels"])
+def test_systems_label_documents_without_matches(spark, tmp_path, name):
+    rows = [(1, "Anna Berg lives in Oslo"), (2, "mail a.berg@example.com today"), (3, ""), (4, None), (5, "nothing to find")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == sum(len((t or "").split()) for _, t in rows)

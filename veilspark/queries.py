@@ -665,8 +665,7 @@ def _round_to(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def _samples(spark, d):
-    docs = detect.with_matches(read(spark, d, "documents").select("doc_id", "text")).where(F.size("matches") > 0).select(F.col("doc_id").alias("sample_id"), "text")
-    return docs
+    return read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "text")
 
 
 def _stand_in(samples: DataFrame) -> DataFrame:
