@@ -67,3 +67,15 @@ def test_documents(spark, monkeypatch):
 
 def test_empty(spark):
     assert tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_frequent_pair_is_left(seed):
+    rng = np.random.default_rng(seed)
+    ids = [rng.zipf(1.2, 60_000).clip(max=400), np.tile(rng.integers(0, 90, 300), 200), np.zeros(50_000, int), rng.integers(0, 50_000, 40_000)][seed].astype(np.uint32)
+    seq, rules = tokens.repair(ids, int(ids.max()) + 1)
+    pairs, counts = np.unique((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:], return_counts=True)
+    # a run of one symbol holds its pair half as often as it has neighbours
+    same = (pairs >> np.uint64(32)) == (pairs & np.uint64(0xFFFFFFFF))
+    assert not len(counts) or counts[~same].max(initial=0) < tokens.MIN_PAIR
+    assert tokens.Shard(tokens.pack(ids)).ids().tolist() == ids.tolist()

@@ -3,9 +3,10 @@
 Texts are encoded by a tokenizer file of the ``tokenizers`` library. Words repeat, so each task keeps the ids of the words
 it has met (words never join across white space in such a tokenizer; ``WordEncoder`` checks that it has this form and
 falls back to whole texts otherwise). Ids travel in doc_id order to range partitions; each task packs its documents into
-shards of about SHARD_IDS ids. In a shard, frequent pairs of ids are replaced by nonterminals round by round until no pair
-occurs MIN_PAIR times or the rounds are used up. A shard holds the rules, the expansion length of every nonterminal, the
-sequence, and a running length every STRIDE symbols, so that any id range is decoded without the rest.
+shards of about SHARD_IDS ids. In a shard, frequent pairs of ids are replaced by nonterminals round by round, a round taking
+the pairs that occur at least half as often as the most frequent one, until no pair occurs MIN_PAIR times. A shard holds the
+rules, the expansion length of every nonterminal, the sequence, and a running length every STRIDE symbols, so that any id range
+is decoded without the rest.
 
 Null and empty texts are just the end id. Rows of one doc_id (repeated rows) keep an arbitrary but fixed order among
 themselves; null doc_ids come first. An empty table gives no shards and no rows. Other columns are ignored.
@@ -30,11 +31,16 @@ from .common import materialize, read, small_side, texts
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-MIN_PAIR, ROUNDS, PER_ROUND = 64, 4, 2048
+#: Occurrences from which on a pair is replaced; slots in which pairs are counted.
+MIN_PAIR, SLOTS = 64, 1 << 20
 STRIDE = 1024
 #: Words a task keeps.
 CACHE = 300_000
 MAGIC = b"RPR1"
+#: Pieces of a lower-case ASCII word, as the tokenizer's own pattern cuts it.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTED = re.compile(rb"[!-~]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that NFC leaves alone and whose lower case is one letter, whoever computes it.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
@@ -61,98 +67,108 @@ class WordEncoder:
         special = [x["content"] for x in spec["added_tokens"]]
         # white space is dropped by the pre-tokenizer and no step joins what it separates
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
-        self.by_word &= all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec["added_tokens"]) and not any(c.isspace() for x in special for c in x)
+        self.by_word = self.by_word and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _SPLIT}
+        self.by_word &= all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec["added_tokens"]) and all(x.startswith("<|") and not any(c.isspace() for c in x) for x in special)
         self.model, self.known, self.older = self.tokenizer.model, {}, {}
         self.alphabet = _byte_alphabet()
-        self.tails = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of letters, a digit or symbols that the pre-tokenizer leaves together, in lower-case ASCII."""
+        ids = self.known.get(piece)
+        if ids is None:
+            self.known[piece] = ids = array("I", [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
+        return ids
+
     def _word(self, word: bytes) -> bytes:
-        """A run of Latin letters, perhaps before a full stop or comma, is a piece of its own, and normal as it is: straight to the model."""
+        """Pieces of ASCII and runs of Latin letters, perhaps before a full stop or comma, go straight to the model, in lower case."""
+        if b"<|" in word:
+            return self._encode(word.decode())
+        if word.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(word.lower().decode())]).tobytes()
+        if _PRINTED.fullmatch(word):
+            word = word.lower()
+            return b"".join(map(self._piece, _PIECES.findall(word)))
         body, tail = (word[:-1], word[-1:]) if word[-1] in b".," else (word, b"")
-        if body.isalpha():
-            piece = body.lower().decode()
-        else:
+        ids = self.known.get(body) if tail else None
+        if ids is None:
             text = body.decode()
             if not _LATIN.fullmatch(text):
                 return self._encode(word.decode())
             piece = text.lower().encode().decode("latin-1").translate(self.alphabet)
-        ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        if tail:
-            if tail not in self.tails:
-                self.tails[tail] = self._encode(tail.decode())
-            ids += self.tails[tail]
-        return ids
+            ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return ids + self._piece(tail) if tail else ids
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._encode(data.decode())
-        known, out = self.known, []
-        words = data.split()
+        # ASCII letters may be lowered first but before combining marks (U+0300 to U+037F), which NFC joins to some small letters
+        # only, and in special tokens
+        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
+            data = data.lower()
+        out, words = [], data.split()
         for at in range(0, len(words), 1 << 16):
             part = words[at : at + (1 << 16)]
-            got = [known.get(w) for w in part]
-            k = got.index(None) if None in got else -1
-            while k >= 0:
-                word = part[k]
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= CACHE:  # the words of the last CACHE first meetings stay within reach
-                        self.older, self.known = known, {}
-                        known = self.known
-                    ids = self.older.get(word)
-                    if ids is None:
-                        ids = self._word(word)
-                    known[word] = ids
-                got[k] = ids
-                try:
-                    k = got.index(None, k + 1)
-                except ValueError:
-                    k = -1
-            out.append(b"".join(got))
+            new = set(part).difference(self.known)
+            if len(self.known) + len(new) > CACHE:  # the words of the last CACHE first meetings stay within reach
+                self.older, self.known = self.known, {}
+                new = set(part)
+            known, older = self.known, self.older
+            for word in new:
+                ids = older.get(word)
+                known[word] = self._word(word) if ids is None else ids
+            out.append(b"".join(map(known.__getitem__, part)))
         return b"".join(out)
 
 
-def _frequent(seq: np.ndarray, base: int) -> np.ndarray:
-    """Up to PER_ROUND pairs of neighbours, as a * base + b, by falling count, that occur MIN_PAIR times or more."""
-    pairs = seq[:-1].astype(np.uint64) * np.uint64(base) + seq[1:]
-    slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    heavy = np.bincount(slot, minlength=1 << 20) >= MIN_PAIR
-    keys, counts = np.unique(pairs[heavy[slot]], return_counts=True)
-    keys, counts = keys[counts >= MIN_PAIR], counts[counts >= MIN_PAIR]
-    return keys[np.lexsort((keys, -counts))[:PER_ROUND]]
-
-
 def repair(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules): rule k replaces the pair rules[k] by the symbol terminals + k.
-
-    A round replaces its pairs left to right, never overlapping: of a run of positions that could all be replaced, every
-    second one is, which is what Re-Pair does with the pair it holds."""
-    seq, rules = seq.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        base = terminals + sum(map(len, rules))
-        chosen = _frequent(seq, base)
-        if not len(chosen):
+    """(sequence, rules): rule k replaces the pair rules[k] by the symbol terminals + k; in the end no pair occurs MIN_PAIR times.
+
+    A round throws the pairs into hash slots, counts one pair of each slot exactly, without sorting, and replaces those that
+    occur at least a quarter as often as the most frequent one; pairs that share a slot with another have their turn under a later
+    hash. Pairs are replaced left to right, never overlapping: of a run of positions that could all be replaced, every second one is."""
+    seq, rules, n_rules, turn = seq.astype(np.uint32), [], 0, 0
+    held, symbol = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+    while len(seq) > 1:
+        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        slot = ((pairs * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) % (1 << 64))) >> np.uint64(44)).astype(np.int32)
+        turn += 1
+        # a slot has at least as many as any of its pairs
+        where = np.nonzero((np.bincount(slot, minlength=SLOTS) >= MIN_PAIR)[slot])[0]
+        if not len(where):
             break
-        order = np.sort(chosen)
-        pairs = seq[:-1].astype(np.uint64) * np.uint64(base) + seq[1:]
-        at = np.searchsorted(order, pairs)
-        at[at == len(order)] = 0
-        hits = np.nonzero(order[at] == pairs)[0]
+        pairs, slot = pairs[where], slot[where]
+        held[slot] = pairs
+        own = held[slot] == pairs
+        counts = np.bincount(slot[own], minlength=SLOTS)
+        most = int(counts.max())
+        if most < MIN_PAIR:
+            if np.unique(pairs, return_counts=True)[1].max() < MIN_PAIR:
+                break
+            continue
+        chosen = np.nonzero(counts >= max(MIN_PAIR, most // 4))[0]
+        symbol[chosen] = np.arange(len(chosen), dtype=np.int32)
+        at = symbol[slot]
+        symbol[chosen] = -1
+        good = own & (at >= 0)
+        hits, at = where[good], at[good]
         # in a run of neighbouring hits those at even distance from its start are replaced
         start = np.r_[True, hits[1:] != hits[:-1] + 1]
         first = np.maximum.accumulate(np.where(start, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - first) % 2 == 0]
-        seq[hits] = base + at[hits]
+        even = (np.arange(len(hits)) - first) % 2 == 0
+        hits, at = hits[even], at[even]
+        used = np.bincount(at, minlength=len(chosen)) >= 2
+        hits, at = hits[used[at]], (np.cumsum(used) - 1)[at[used[at]]]
+        seq[hits] = (terminals + n_rules + at).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([order // np.uint64(base), order % np.uint64(base)], 1).astype(np.uint32))
+        chosen = held[chosen[used]]
+        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        n_rules += len(chosen)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
