@@ -18,7 +18,7 @@ def test_warc_round_trip():
     record = {"url": "u", "ip": "0.0.0.0", "date": "20010203040506", "mime": "text/html", "filename": "f", "payload": b"WARC/1.1\r\n\r\nx"}
     data = archive.to_warc(record) + archive.to_warc(record, "g")
     (h1, b1), (h2, b2) = archive.parse_warc(data)
-    assert b1 == record["payload"] and b2 == b"" and h2["WARC-Type"] == "revisit" and h1["WARC-Date"] == "2001-02-03T04:05:06Z"
+    assert b1.endswith(b"\r\n\r\n" + record["payload"]) and b1.startswith(b2) and b2.endswith(b"Content-Length: 13\r\n\r\n") and h2["WARC-Type"] == "revisit" and h1["WARC-Date"] == "2001-02-03T04:05:06Z"
     assert h1["WARC-Record-ID"] == h2["WARC-Record-ID"] != h2["WARC-Refers-To"]
 
 
@@ -37,3 +37,15 @@ def test_empty(spark):
     path = new_path(spark, "t")
     archive.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert archive.read_archives(spark, path).count() == 0
+
+
+def test_revisits_from_100_bytes_on_and_small_files(spark, monkeypatch):
+    monkeypatch.setattr(archive, "CHUNK", 500)
+    monkeypatch.setattr(archive, "FILE_CHUNKS", 2)
+    rows = [(i, "u", "é" * 49 + "x" * n) for n in (1, 2) for i in range(40 * n, 40 * n + 40)]
+    path = new_path(spark, "t")
+    archive.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = archive.read_archives(spark, path).collect()
+    assert len(got) == 80 and spark.read.format("binaryFile").load(path).count() > 5
+    assert {r.page_id for r in got if r.record_type == "revisit"} == set(range(81, 120)) and {r.refers_to for r in got} == {None, 80}
+    assert {r.payload_bytes for r in got} == {99, 100}

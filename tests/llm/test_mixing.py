@@ -61,3 +61,14 @@ def test_targets_and_taken(spark):
 
 def test_empty(spark):
     assert compare(spark, []) == ([], [])
+
+
+def test_apply_with_clashing_columns(spark):
+    rows = [(i, "w " * (i % 7), f"s{i % 3}", i) for i in range(90)]
+    names = ("passes", "threshold", "p_source", "u", "copies", "size", "s", "row", "col")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").selectExpr("*", *[f"n as {n}" for n in names])
+    want = {r.doc_id: r.copies for r in mixing.mix(docs.select("doc_id", "text", "source")).collect() if r.copies}
+    out = mixing.apply(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert collections.Counter(r.doc_id for r in got) == want and all(r[n] == r.doc_id for r in got for n in names)

@@ -74,3 +74,12 @@ def test_empty_table_and_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
     assert sorted(kept) == sorted({r[2] for r in brute(rows) if r[2] is not None})
+
+
+def test_keep_one_loses_no_component(spark):
+    words = [" ".join(f"{p}{i}" for i in range(60)) for p in "abcdefg"]
+    rows = [(1, words[0], "x"), (1, words[1], "x"), (None, words[2], "x"), (None, words[3], "x"), (None, words[4], "y"), (4, words[4], "y"), (5, words[5], "z"), (5, words[5], "a"), (5, words[5], None), (6, words[6], "q"), (7, words[6], "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key string")
+    got = sorted(map(str, (tuple(r) for r in simhash.keep_one(docs).collect())))
+    want = [rows[0], rows[1], rows[2], rows[3], rows[5], rows[8], rows[9]]
+    assert got == sorted(map(str, want))

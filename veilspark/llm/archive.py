@@ -3,7 +3,8 @@
 ``parse_arc`` walks an ARC file by its declared lengths. The version line says which header fields follow:
 version 1 has ``URL IP-address Archive-date Content-type Archive-length``, version 2 adds
 ``Result-code Checksum Location Offset Filename`` before the length. ``to_warc`` makes a WARC 1.1 record of each: a record id
-(UUID 5 of URL, date and file name, so reruns agree), a timestamp from the 14-digit date, type, and SHA-256 digests.
+(UUID 5 of URL, date and file name, so reruns agree), a timestamp from the 14-digit date, type, and SHA-256 digests. The block of
+a record is an HTTP response header made from the ARC fields and, but for revisits, the payload.
 
 Files: WARC text files (UTF-8 payloads) in the shared folder, written and read back by Spark's own writers and readers.
 A null html is an empty payload, a null url is written as "-", a null page_id as "null". Records with equal payloads of at
@@ -27,8 +28,8 @@ from .common import delete_at_exit, new_path, read
 
 #: Payloads below this many bytes are always stored.
 MIN_REVISIT = 100
-#: Records a file; bounds the memory of a reader.
-FILE_RECORDS = 4000
+#: A file is closed after FILE_CHUNKS chunks of about CHUNK bytes; that bounds the memory of a reader.
+CHUNK, FILE_CHUNKS = 1 << 22, 16
 
 ARC_FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
@@ -87,15 +88,16 @@ def to_warc(record: dict, revisit_of: str | None = None) -> bytes:
     def identity(name: str) -> str:
         return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {date}')}>"
 
-    body = payload if revisit_of is None else b""
+    http = f"HTTP/1.1 {record.get('status', '200')} OK\r\nContent-Type: {record['mime']}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = http + payload if revisit_of is None else http
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if revisit_of is None else 'revisit'}", f"WARC-Record-ID: {identity(record.get('filename', record['url']))}",
         f"WARC-Date: {stamp}", f"WARC-Target-URI: {record['url']}", f"WARC-IP-Address: {record['ip']}", f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Block-Digest: sha256:{digest if revisit_of is None else hashlib.sha256(b'').hexdigest()}", f"X-ARC-Filename: {record.get('filename', '-')}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}", f"X-ARC-Filename: {record.get('filename', '-')}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit_of is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {identity(revisit_of)}", f"X-Refers-To-Filename: {revisit_of}"]
-    head += [f"Content-Type: {record['mime']}", f"Content-Length: {len(body)}"]
+    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -116,32 +118,42 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         at = end + 8 + length
 
 
-def _convert(batches):
-    for batch in batches:
-        ids, urls, pages, refs = (batch.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to"))
-        source = [{"url": u, "ip": "0.0.0.0", "date": "19700101000000", "mime": "text/html", "status": "200", "filename": f"page-{'null' if i is None else i}", "payload": h} for i, u, h in zip(ids, urls, pages, strict=True)]
-        out, size = [], 0
-        for record, ref in zip(parse_arc(arc_file(source)), refs, strict=True):
-            out.append(to_warc(record, None if ref is None else f"page-{ref}")[:-1])  # the writer adds the last line feed
-            size += len(out[-1])
-            if size > 1 << 24:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
-                out, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+def _convert(most: int):
+    """Rows of about ``most`` bytes of records, or of one longer record."""
+
+    def chunk(records):
+        whole = b"".join(records)[:-1]  # the writer adds the last line feed
+        return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary()).cast(pa.string())], ["value"])
+
+    def run(batches):
+        for batch in batches:
+            ids, urls, pages, refs = (batch.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to"))
+            source = [{"url": u, "ip": "0.0.0.0", "date": "19700101000000", "mime": "text/html", "status": "200", "filename": f"page-{'null' if i is None else i}", "payload": h} for i, u, h in zip(ids, urls, pages, strict=True)]
+            out, size = [], 0
+            for record, ref in zip(parse_arc(arc_file(source)), refs, strict=True):
+                out.append(to_warc(record, None if ref is None else f"page-{ref}"))
+                size += len(out[-1])
+                if size > most:
+                    yield chunk(out)
+                    out, size = [], 0
+            if out:
+                yield chunk(out)
+
+    return run
 
 
 def convert(pages: DataFrame) -> DataFrame:
-    """One WARC record per row of ``pages`` (page_id, url, html) as text, by way of ARC segments."""
+    """A WARC record of every row of ``pages`` (page_id, url, html), many to a row of text, by way of ARC segments."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("long", F.octet_length("html") >= MIN_REVISIT)
     first = rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first_id")).withColumn("long", F.lit(True))
     rows = rows.join(first, ["digest", "long"], "left")
     ref = F.when(~F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False)), F.col("first_id"))
-    return rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), ref.alias("refers_to")).mapInArrow(_convert, "value string")
+    return rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), ref.alias("refers_to")).mapInArrow(_convert(CHUNK), "value string")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    convert(pages).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    convert(pages).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
 
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string"
@@ -161,9 +173,10 @@ def _read(batches):
             rows = []
             for head, block in parse_warc(data):
                 kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
-                if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
+                payload = block[block.index(b"\r\n\r\n") + 4 :]
+                if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{head['WARC-Record-ID']}: the payload doesn't match its digest")
-                size = len(block) if kind == "response" else int(head["X-Payload-Length"])
+                size = len(payload) if kind == "response" else int(head["X-Payload-Length"])
                 rows.append((_number(head["X-ARC-Filename"]), head["WARC-Target-URI"], size, digest, kind, _number(head.get("X-Refers-To-Filename")), head["WARC-Record-ID"], head["WARC-Date"]))
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)

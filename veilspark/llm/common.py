@@ -18,10 +18,13 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or veilspark.shared.dir. Where both are unset a local
+    master (tests) gets a temporary folder, and a cluster an error: its executors don't see the driver's folders."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("veilspark.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
         spark.conf.set("veilspark.shared.dir", base)
     return base.rstrip("/")
@@ -34,7 +37,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that survive a lost executor."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     delete_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._veil_path = path
@@ -48,14 +51,32 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a work table now. A store that refuses leaves it to delete_at_exit()."""
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     path = getattr(df, "_veil_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        with contextlib.suppress(Exception):
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that tell rows of different doc_id or text apart, null from empty included."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (doc_id, text)]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit(" "), parts[1]).cast("binary")))
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

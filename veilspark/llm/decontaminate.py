@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, read, small_side
+from .common import BROADCAST_ROWS, free_name, materialize, read, row_key, small_side
 
 STRETCH, SHARE, MIN_WORDS = 13, 0.8, 5
 #: Kept positions of each mask.
@@ -64,8 +64,8 @@ def _exploded(df: DataFrame, keep: list[str], masks, whole: bool) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (word of the document where the item would begin), n_item_words, n_equal and best_stretch
     (equal words in the best stretch), one row per leak; ``_uid`` tells documents apart."""
-    uid = F.xxhash64("doc_id", "text")
-    items = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("iuid"), _words(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    uid = row_key()
+    items = benchmark.select("item_id", row_key("item_id").alias("iuid"), _words(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS)
     items = materialize(items.dropDuplicates(["iuid"]), "leak-items")
     lengths = [r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < STRETCH).distinct().collect()]
     masks = [(STRETCH, m) for m in MASKS] + [(n, m) for n in sorted(lengths) for m in whole_masks(n)]
@@ -101,8 +101,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak."""
-    bad = materialize(leaks(docs, benchmark).select(F.col("_uid")).distinct(), "leak-docs")
-    return docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(small_side(bad, bad.count()), "_uid", "left_anti").drop("_uid")
+    key = free_name(docs, "_row_key")
+    bad = materialize(leaks(docs, benchmark).select(F.col("_uid").alias(key)).distinct(), "leak-docs")
+    return docs.withColumn(key, row_key()).join(small_side(bad, bad.count()), key, "left_anti").drop(key)
 
 
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:

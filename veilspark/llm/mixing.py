@@ -103,8 +103,10 @@ def apply(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: a filter by thresholds, no shuffle of texts."""
     _, plan, n_sources = _plan(docs, weights, share)
     plan = plan.select("p_source", "passes", "threshold")
-    rows = _copies(docs.withColumn("u", _hash(F.col("doc_id"))), plan, n_sources).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    # the row travels as one value, so that no column of its can clash with the plan's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", _hash(F.col("doc_id")).alias("u"))
+    rows = _copies(rows, plan, n_sources).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

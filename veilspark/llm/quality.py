@@ -151,14 +151,13 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
 def judge(docs: DataFrame, labels: DataFrame, texts_too: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, lang, more) with counts, base_failed and kept; cutoffs from ``labels`` (doc_id, quality).
 
-    Without ``texts_too`` the text column isn't returned, nor written on the way."""
-    marked = with_features(docs)
-    marked = materialize(marked if texts_too else marked.drop("text"), "quality-docs")
+    The counts are written without the texts; with ``texts_too`` the texts are counted once more rather than copied."""
+    marked = materialize(with_features(docs).drop("text"), "quality-docs")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.min("quality").alias("quality"))
     labelled = marked.select("doc_id", "lang", *_FIELDS).join(known, F.col("doc_id") == F.col("_l"))
     cutoffs = choose_cutoffs(labelled).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
     cutoffs = materialize(cutoffs.select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_cut_{r}") for r in RULES]), "quality-cutoffs")
-    out = marked.join(small_side(cutoffs, cutoffs.count()), _stratum() == F.col("_s"), "left")
+    out = (with_features(docs) if texts_too else marked).join(small_side(cutoffs, cutoffs.count()), _stratum() == F.col("_s"), "left")
     bad = F.lit(False)
     for rule, score in _scores().items():
         bad = bad | F.coalesce(score > F.col(f"_cut_{rule}"), F.lit(False))

@@ -10,8 +10,9 @@ members are dealt in tiles of TILE, and each pair of tiles is compared in one ta
 spanning forest of the links and not the links. Components come from rounds of star contraction with written tables.
 
 Null and empty texts have fingerprint zero and link like any other. Lower-casing is A-Z only. Repeated rows give repeated
-results. A null doc_id never is the smallest of a component that has another; alone, its component is null. An empty table
-gives no rows. Other columns are ignored.
+results. A null doc_id never is the smallest of a component that has another; alone, its component is null. ``keep_one`` keeps
+one row of every component: the smallest doc_id's (null last), of several such rows one text's, the smallest by MD5, and of
+repeated rows the one whose other columns are smallest. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, materialize, read, texts
+from .common import drop_table, free_name, materialize, read, row_key, small_side, texts
 
 MAX_BITS = 3
 #: Fingerprints that share a half value and are still joined pair by pair.
@@ -178,12 +179,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) of the fingerprints in ``marked`` (doc_id, fp): the smallest doc_id of the component."""
+    """(fp, root, component_id) of the fingerprints in ``marked`` (doc_id, fp): the smallest fingerprint and the smallest doc_id of the component."""
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-prints")
     roots = components(links(prints.select("fp")))
     per = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = per.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return per.join(least, "root").select("fp", "component_id")
+    return per.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -194,13 +195,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id."""
-    marked = materialize(docs.withColumn("_fp", fingerprints(F.col("text"))), "simhash-marked")
-    light = marked.select("doc_id", F.col("_fp").alias("fp"))
-    ids = cluster(light).withColumnsRenamed({"fp": "_fp", "component_id": "_component"})
-    kept = marked.join(ids, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_component"))).drop("_fp", "_component")
-    repeated = light.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The rows of ``docs`` that stay, one of each component; rows are told apart by doc_id and text. Texts are read twice and
+    never copied: what is written is keys and fingerprints."""
+    key = free_name(docs, "_row_key")
+    light = materialize(docs.select(row_key().alias("rk"), "doc_id", fingerprints(F.col("text")).alias("fp")), "simhash-marked")
+    rows = light.join(cluster(light.select("doc_id", "fp")), "fp").groupBy("rk", "root").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows, "simhash-rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("f")).select(F.col("f.rk").alias("rk"), F.lit(True).alias("stays"))
+    rows = materialize(rows.join(first, "rk", "left").select("rk", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "simhash-stays")
+    gone = rows.where("not stays").select(F.col("rk").alias(key))
+    kept = docs.withColumn(key, row_key()).join(small_side(gone, gone.count()), key, "left_anti")
+    twice = rows.where("stays and n > 1").select(F.col("rk").alias(key))
+    n_twice = twice.count()
+    if not n_twice:
+        return kept.drop(key)
+    twice = small_side(twice, n_twice)
+    packed = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")
+    one = kept.join(twice, key, "left_semi").groupBy(key).agg(packed).select("r.*")
+    return kept.join(twice, key, "left_anti").drop(key).unionByName(one)
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
