@@ -32,7 +32,7 @@ from .common import materialize, read, small_side, texts
 END_ID = 2
 SHARD_IDS = 1 << 20
 #: Occurrences from which on a pair is replaced; slots in which pairs are counted.
-MIN_PAIR, SLOTS = 64, 1 << 20
+MIN_PAIR, SLOTS = 64, 1 << 18
 STRIDE = 1024
 #: Words a task keeps.
 CACHE = 300_000
@@ -41,8 +41,9 @@ MAGIC = b"RPR1"
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PRINTED = re.compile(rb"[!-~]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters that NFC leaves alone and whose lower case is one letter, whoever computes it.
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Letters that NFC leaves alone and whose lower case is one letter, whoever computes it (A to Z, U+00C0 to U+024F but the signs and
+#: U+0130), in UTF-8, and a full stop or comma.
+_LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([.,]?)")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -52,6 +53,20 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids by word; a word met for the first time is encoded."""
+
+    def __init__(self, encode, older: dict):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False).ids`` does, word by word where that is the same."""
 
@@ -69,40 +84,48 @@ class WordEncoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
         self.by_word = self.by_word and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _SPLIT}
         self.by_word &= all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec["added_tokens"]) and all(x.startswith("<|") and not any(c.isspace() for c in x) for x in special)
-        self.model, self.known, self.older = self.tokenizer.model, {}, {}
+        self.model, self.known = self.tokenizer.model, _Known(self._word, {})
         self.alphabet = _byte_alphabet()
+        #: how an id is written
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.tails = {ord(c): self._ids(c) for c in ".,"} if self.by_word else {}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _ids(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
         """The ids of letters, a digit or symbols that the pre-tokenizer leaves together, in lower-case ASCII."""
         ids = self.known.get(piece)
         if ids is None:
-            self.known[piece] = ids = array("I", [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
+            self.known[piece] = ids = self._ids(piece.decode())
         return ids
 
     def _word(self, word: bytes) -> bytes:
         """Pieces of ASCII and runs of Latin letters, perhaps before a full stop or comma, go straight to the model, in lower case."""
+        if word.isalpha():
+            return self._ids(word.lower().decode())
+        tail = self.tails.get(word[-1])
+        if tail and (body := word[:-1]).isalpha():
+            return (self.known.get(body) or self._ids(body.lower().decode())) + tail
         if b"<|" in word:
             return self._encode(word.decode())
-        if word.isalpha():
-            return array("I", [t.id for t in self.model.tokenize(word.lower().decode())]).tobytes()
         if _PRINTED.fullmatch(word):
-            word = word.lower()
-            return b"".join(map(self._piece, _PIECES.findall(word)))
-        body, tail = (word[:-1], word[-1:]) if word[-1] in b".," else (word, b"")
-        text = body.decode()
-        if not _LATIN.fullmatch(text):
+            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
+        latin = _LATIN.fullmatch(word)
+        if not latin:
             return self._encode(word.decode())
+        body = latin[1]
         ids = self.known.get(body) if tail else None
         if ids is None:
-            piece = text.lower().encode().decode("latin-1").translate(self.alphabet)
-            ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        return ids + self._piece(tail) if tail else ids
+            ids = self._ids(body.decode().lower().encode().decode("latin-1").translate(self.alphabet))
+        return ids + tail if tail else ids
 
     def encode(self, data: bytes) -> bytes:
-        """The ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
+        """The ids of a text in UTF-8, as little-endian unsigned integers of self.kind."""
         if not self.by_word:
             return self._encode(data.decode())
         # ASCII letters may be lowered first but before combining marks (U+0300 to U+037F), which NFC joins to some small letters
@@ -111,16 +134,9 @@ class WordEncoder:
             data = data.lower()
         out, words = [], data.split()
         for at in range(0, len(words), 1 << 16):
-            part = words[at : at + (1 << 16)]
-            new = set(part).difference(self.known)
-            if len(self.known) + len(new) > CACHE:  # the words of the last CACHE first meetings stay within reach
-                self.older, self.known = self.known, {}
-                new = set(part)
-            known, older = self.known, self.older
-            for word in new:
-                ids = older.get(word)
-                known[word] = self._word(word) if ids is None else ids
-            out.append(b"".join(map(known.__getitem__, part)))
+            if len(self.known) > CACHE:  # the words of the last CACHE first meetings stay within reach
+                self.known = _Known(self._word, dict(self.known))
+            out.append(b"".join(map(self.known.__getitem__, words[at : at + (1 << 16)])))
         return b"".join(out)
 
 
@@ -133,14 +149,15 @@ def repair(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     seq, rules, n_rules, turn = seq.astype(np.uint32), [], 0, 0
     held, symbol = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
     while len(seq) > 1:
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((pairs * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) % (1 << 64))) >> np.uint64(44)).astype(np.int32)
+        # odd factors that differ from turn to turn
+        slot = (seq[:-1] * np.uint32(0x9E3779B1 + 0x10932 * turn) + seq[1:] * np.uint32(0x85EBCA6B + 0x20C64 * turn)) >> np.uint32(14)
         turn += 1
         # a slot has at least as many as any of its pairs
         where = np.nonzero((np.bincount(slot, minlength=SLOTS) >= MIN_PAIR)[slot])[0]
         if not len(where):
             break
-        pairs, slot = pairs[where], slot[where]
+        slot = slot[where].astype(np.int64)
+        pairs = (seq[where].astype(np.uint64) << np.uint64(32)) | seq[where + 1]
         held[slot] = pairs
         own = held[slot] == pairs
         counts = np.bincount(slot[own], minlength=SLOTS)
@@ -252,13 +269,10 @@ def _encoder_udf(path: str):
     @F.arrow_udf(T.BinaryType())
     def encode(column: pa.Array) -> pa.Array:
         encoder = encoder_of(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        out = []
-        for x in texts(column):
-            ids = np.frombuffer(encoder.encode(x) + end, "<u4")
-            # two bytes an id if all fit, told by the first byte
-            out.append(b"\2" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\4" + ids.tobytes())
-        return pa.array(out, pa.binary())
+        end = np.array([END_ID], encoder.kind).tobytes()
+        # the first byte tells the bytes of an id
+        width = encoder.kind[-1].encode().translate(bytes.maketrans(b"24", b"\2\4"))
+        return pa.array([b"".join((width, encoder.encode(x), end)) for x in texts(column)], pa.binary())
 
     return encode
 
