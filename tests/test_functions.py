@@ -42,7 +42,8 @@ def test_text(spark):
     got = values(spark, [(["▁New", "▁Yo", "##rk"],)], "p array<string>", fn.clean_wordpiece(F.col("p")))
     assert got == [("New York",)]
     long = "a" * 300 + " left side TARGET right. side " + "b" * 300
-    (row,) = values(spark, [(long, long.index("TARGET"), long.index("TARGET") + 6)], "t string, s int, e int", fn.context(F.col("t"), F.col("s"), F.col("e")))
-    assert row[0] == "left side >>> TARGET <<< right. side"
+    (row,) = values(spark, [(long, long.index("TARGET"), long.index("TARGET") + 6)], "t string, s int, e int", fn.context(F.col("t"), F.col("s"), F.col("e"), 50))
+    # both ends grow outwards to a boundary; on the left there is none but the first character, which is left out
+    assert row[0] == "..." + "a" * 299 + " left side >>> TARGET <<< right. side " + "b" * 300 + "..."
     assert values(spark, [("Hybrid V2 (gpt/x)",), ("Base",)], "n string", fn.model_name(F.col("n")), fn.safe_name(F.col("n"))) == [("gpt/x", "hybrid_v2_gpt_x"), ("Base", "base")]
     assert [r[0] for r in values(spark, [(0.0001,), (0.005,), (0.03,), (0.2,)], "p double", fn.stars(F.col("p")))] == ["***", "**", "*", "n.s."]

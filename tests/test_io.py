@@ -76,3 +76,38 @@ def test_streams(spark, tmp_path):
     stream.run_once(stream.match_counts(source, "ts"), str(tmp_path / "out2"), str(tmp_path / "c2"))
     batch = stream.match_counts(docs, "ts").collect()
     assert [r.n for r in batch] == [2]
+
+
+def test_runs_and_zip(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    from veilspark import cli
+    from veilspark.sources import adapters, sinks
+
+    results = spark.sql("select 's' as system, 3L as n_samples, 0.5D as `token_level.f1.macro`")
+    labels = spark.sql("select 'B-A' as label, 0.5D as precision, 0.5D as recall, 0.5D as f1, 2L as support")
+    for run in ("run-1", "run-2"):
+        sinks.write_run(spark, f"{tmp_path}/{run}", {"seed": 42}, results, {"per_label": labels})
+    got = {r.run: json.loads(r.value) for r in sinks.read_runs(spark, str(tmp_path)).collect()}
+    assert got["run-2"] == {"system": "s", "n_samples": 3, "token_level": {"f1": {"macro": 0.5}}} and len(got) == 2
+    assert {r.run for r in sinks.read_per_label(spark, str(tmp_path)).collect()} == {"run-1", "run-2"}
+    assert sinks.latest(spark, str(tmp_path), "config.json").endswith("run-2/config.json") and "Token Level" in sinks.read_text(spark, f"{tmp_path}/run-1/results.txt")
+    assert sinks.format_size(1536) == "1.5 KB"
+    sinks.write_table_report(labels.select("label", "f1"), f"{tmp_path}/pivot")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/pivot.md").collect()] == ["| label | f1 |", "|---|---|", "| B-A | 0.5 |"]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("a/x.jsonl", json.dumps({"id": "1", "tokens": ["Acme", "sold"], "ner_tags": ["B-X", "O"]}) + "\n" + json.dumps({"id": "2", "tokens": ["no"], "ner_tags": ["O"]}) + "\n")
+    (tmp_path / "set.zip").write_bytes(buffer.getvalue())
+    assert [r.sample_id for r in adapters.read_labelled_jsonl(spark, f"{tmp_path}/set.zip").collect()] == ["1"]
+    spark.createDataFrame([("d", ["a"], ["B-P"])], "document_id string, tokens array<string>, labels array<string>").coalesce(1).write.parquet(f"{tmp_path}/FOLD_2.parquet")
+    assert adapters.native_labels(adapters.read_folds(spark, str(tmp_path), (2,))).first()[0] == "P"
+    spark.createDataFrame([(1, [5, 6, 0], [1, 1, 0], [-100, 3, -100])], "row_id long, input_ids array<int>, attention_mask array<int>, labels array<int>").write.parquet(f"{tmp_path}/tok")
+    assert [tuple(r) for r in adapters.labelled_positions(adapters.read_tokenized(spark, f"{tmp_path}/tok", 5)).collect()] == [(1, 1, 6, 3)]
+    assert adapters.sample_count("wikineural", None, 3) == 3000 and adapters.sample_count("bc5cdr") is None and adapters.sample_count("bc5cdr", 7) == 7
+    cli.main(["redact", "--demo", "--out", f"{tmp_path}/cli"], spark)
+    assert sum(r.n_entities for r in spark.read.json(f"{tmp_path}/cli").collect()) >= 3
+    cli.main(["entities", "--text", "mail a@b.com", "--out", f"{tmp_path}/cli2"], spark)
+    assert json.loads(spark.read.json(f"{tmp_path}/cli2").first().entities)[0]["text"] == "a@b.com"

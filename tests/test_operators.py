@@ -5,11 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions import columns as fn
 from veilspark.functions.registry import PII_CLASSES, RouteConfig
 from veilspark.operators import arbiter, calibrate, correct, evaluate, route
 from veilspark.operators import tokens as tk
-from veilspark.plans import pipeline
+from veilspark.plans import experiments, pipeline
 from veilspark.queries import QUERIES
+from veilspark.sources import adapters
 
 
 def sequence(spark, labels, **more):
@@ -48,9 +50,15 @@ def test_routing(spark):
     rows = [("B-CITY", 0.6, 0.7), ("B-CITY", 0.583, 0.7), ("B-SOCIALNUM", 0.45, 0.85), ("O", 0.8, 0.5), ("O", 0.9, 0.5), ("I-CITY", 0.9, 0.5)]
     df = spark.createDataFrame(rows, "l string, h double, c double")
     decide = lambda config: [r[0] for r in df.select(route.decision(F.col("l"), F.col("h"), F.col("c"), config)).collect()]
-    assert decide(route.PII_ROUTES) == ["routed", "blocked_by_threshold", "routed", "blocked_by_entity", "routed_o", "routed"]
+    assert decide(route.PII_ROUTES) == ["routed", "blocked_by_threshold", "routed", "blocked_by_threshold", "routed_o", "routed"]
     strict = RouteConfig(routable=None, blocked=frozenset({"CITY"}))
-    assert decide(strict) == ["blocked_by_entity", "blocked_by_threshold", "blocked_by_threshold", "blocked_by_entity", "routed_o", "blocked_by_continuation"]
+    assert decide(strict) == ["blocked_by_entity", "blocked_by_threshold", "blocked_by_threshold", "routed", "routed", "blocked_by_entity"]
+    # by default every class may be routed: an unsure O and an I- too
+    assert decide(RouteConfig())[3:] == ["routed", "routed", "routed"]
+    assert decide(RouteConfig(routable=frozenset({"CITY"}), routable_inside=frozenset({"AGE"}), blocked=frozenset({"O"}))) == ["routed", "blocked_by_threshold", "blocked_by_threshold", "blocked_by_entity", "blocked_by_entity", "blocked_by_continuation"]
+    assert decide(calibrate.calibrated(0.8, 0.6, route.PII_ROUTES))[:5] == ["blocked_by_threshold"] * 5
+    legacy = [r[0] for r in df.select(route.legacy_decision(F.col("l"), F.col("h"), F.col("c"), ("AGE",), ("CITY",))).collect()]
+    assert legacy == [True, False, False, True, True, True]
     assert decide(RouteConfig(selective=False))[3:] == ["routed"] * 3
 
 
@@ -73,6 +81,15 @@ def test_entity_rows(spark):
 
 
 def test_arbiter(spark):
+    one = lambda row, f: spark.createDataFrame([(row,)], "raw string").select(f(F.col("raw")).alias("v")).first().v
+    assert one('thinks {no} {"a": {"b": "}"}} {"c": 1}', arbiter.first_json) == '{"a": {"b": "}"}}' and one("none {", arbiter.first_json) is None
+    label = lambda raw, before="O": one(raw, lambda c: arbiter.validate_label(c, F.lit(before), F.lit("B-DATE"), ("O", "B-CITY", "I-CITY", "B-DATE")))
+    assert label('{"label": "b-city", "corrected_label": "O"}').label == label('{"corrected_label": ["?", "B-city"]}').label == "B-CITY"
+    rejected = label('{"label": "I-CITY", "reasoning": "r"}')
+    assert (rejected.label, rejected.valid, rejected.reasoning) == ("B-DATE", False, "BIO violation rejected: r") and label('{"label": "I-CITY"}', "B-CITY").valid
+    assert label('{"label": "O"}').is_pii is False and label("no").label == "B-DATE"
+    gate = lambda raw: one(raw, arbiter.validate_o_span)
+    assert gate('{"is_pii": true, "entity_class": "B-Planet"}').new_class == "Planet" and not gate('{"entity_class": "CITY"}').is_pii and gate(None).new_class == "O"
     raws = ['{"entity_class": " b-city "}', 'x {"entity_class": "ssn"} y', '{"entity_class": "planet"}', "no", None]
     df = spark.createDataFrame([(r,) for r in raws], "raw string")
     assert [r.v.new_class for r in df.select(arbiter.validate_class(F.col("raw"), F.lit("AGE")).alias("v")).collect()] == ["CITY", "SOCIALNUM", "AGE", "AGE", "AGE"]
@@ -136,6 +153,8 @@ def test_statistics(spark):
     assert line.zero == pytest.approx(2.0) and line.spearman == pytest.approx(1.0)
     front = evaluate.pareto(spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.4), ("c", 3.0, 0.9)], "s string, cost double, f double"), "cost", "f")
     assert {r.s for r in front.where("on_front").collect()} == {"a", "c"}
+    ties = evaluate.pareto(spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.5), ("c", 2.0, 0.4)], "s string, cost double, f double"), "cost", "f")
+    assert {r.s for r in ties.where("on_front").collect()} == {"a", "b"}
 
 
 def test_grid(spark):
@@ -154,3 +173,73 @@ def test_systems_label_documents_without_matches(spark, tmp_path, name):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES[name](spark, str(tmp_path)).collect()
     assert sum(r.n for r in got) == sum(len((t or "").split()) for _, t in rows)
+
+
+def test_context(spark):
+    rows = [("one two three four", 8, 13), ("abcdefghij klm. nop", 4, 6), ("a.b\nc d", 4, 5), ("aaaa bbbb", 0, 4), ("abc\r def ghi", 9, 12)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, s int, e int").select(fn.context(F.col("t"), F.col("s"), F.col("e"), 2)).collect()]
+    assert got == ["...two >>> three <<< four...", "...bcd>>> ef <<<ghij...", "...b >>> c <<< d...", "...>>> aaaa <<< bbbb...", "...def >>> ghi <<<..."]
+
+
+def test_calls_fail_alone():
+    seen = []
+
+    def backend(rows):
+        seen.append(len(rows))
+        if any(r["k"] == 2 for r in rows):
+            raise RuntimeError
+        return [str(r["k"]) for r in rows]
+
+    assert arbiter.careful(backend, 2, 1)([{"k": k} for k in range(4)]) == ["0", "1", None, "3"]
+    assert seen.count(1) == 5 and seen[0] == 4
+
+
+def test_hints_take_words_once(spark):
+    tokens = sequence(spark, ["O", "O", "B-AGE", "O", "O"], s=[0.0, 2, 4, 6, 8], e=[1.0, 3, 5, 7, 9])
+    found = spark.createDataFrame([(0, 2, "EMAIL", 0.0, 9.0, True), (0, 1, "DATE", 2.0, 5.0, True), (0, 0, "X", 0.0, 9.0, False)], "sample_id int, priority int, class string, s double, e double, valid boolean")
+    taken = spark.createDataFrame([(0, 4, 4)], "sample_id int, first_idx int, last_idx int")
+    got = sorted((r["class"], r.indices, r.s, r.e, r.prev_label) for r in route.hint_spans(tokens, found, taken).collect())
+    assert got == [("DATE", [1], 2.0, 5.0, "O"), ("EMAIL", [0, 3], 0.0, 9.0, "O")]
+    v = spark.createDataFrame([(0, [0, 3], True, "EMAIL", 0.5, False)], "sample_id int, indices array<int>, is_pii boolean, new_class string, confidence double, failed boolean")
+    assert [r.label for r in correct.apply_verdicts(tokens, v).orderBy("idx").collect()] == ["B-EMAIL", "O", "B-AGE", "I-EMAIL", "O"]
+
+
+def test_hints_reach_the_arbiter(spark):
+    """An IBAN is no label of the model, so only the arbiter can say what it is; its own class comes in at the end."""
+    text = "pay GB82WEST12345698765432 now"
+    samples = spark.createDataFrame([("a", text)], "sample_id string, text string")
+    logits = [9.0] + [0.0] * 40
+    scored = spark.createDataFrame([("a", i, w, text.index(w), text.index(w) + len(w), logits) for i, w in enumerate(text.split())], "sample_id string, idx int, token string, s int, e int, logits array<double>")
+    out = pipeline.hybrid_system(samples, scored, lambda rows: ['{"entity_class": "TAXNUM"}' if r["pred"] == "IBAN" else None for r in rows])
+    assert [r.label for r in out.orderBy("idx").collect()] == ["O", "B-TAXNUM", "O"]
+    unsure = spark.createDataFrame([("a", i, w, 4 * i, 4 * i + 3, [0.1] + [0.0] * 40) for i, w in enumerate(["red", "two"])], scored.schema)
+    gate = lambda rows: ['{"is_pii": true, "entity_class": "Planet"}'] * len(rows)
+    out = pipeline.hybrid_system(spark.createDataFrame([("a", "red two")], samples.schema), unsure, gate)
+    assert [r.label for r in out.orderBy("idx").collect()] == ["B-Planet", "I-Planet"]
+    rows = pipeline.analyze(samples, scored, lambda rows: ['{"entity_class": "TAXNUM"}'] * len(rows)).orderBy("idx").collect()
+    assert [r.source for r in rows] == ["model", "arbiter", "model"]
+
+
+def test_calibration(spark):
+    rows = [(0.1 * (i % 9), 0.4 + 0.05 * (i % 11), i % 4 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "entropy double, confidence double, is_error boolean")
+    none = calibrate.best_cell(calibrate.grid_scores(df.withColumn("is_error", F.lit(False)), calibrate.fixed_grid(spark, 4))).first()
+    assert (none.ent_th, none.conf_th, none.f_beta, none.triggered, none.n_tokens) == (0.5, 0.8, 0.0, 0, 400)
+    far = spark.createDataFrame([(9.0, 0.1)], "ent_th double, conf_th double")
+    assert calibrate.best_cell(calibrate.grid_scores(df, far)).first().conf_th == 0.8
+    ci = {r.metric: r for r in calibrate.metric_intervals(df, 0.3, 0.7).collect()}
+    hit = [e for h, c, e in rows if h > 0.3 and c < 0.7]
+    assert ci["precision"].value == pytest.approx(sum(hit) / len(hit)) and all(r.low < r.value < r.high for r in ci.values())
+    assert [r.value for r in calibrate.metric_intervals(df.where("false"), 0.3, 0.7).collect()] == [0.0] * 3
+    words = spark.createDataFrame([("B-A", "I-A", 0.9, 0.3), ("O", "B-A", 0.8, 0.4), ("O", "O", 0.1, 0.9)], "gold string, pred string, entropy double, confidence double")
+    assert [r.is_error for r in calibrate.word_errors(words).collect()] == [False, True, False]
+    config, _ = calibrate.calibrate(words, route.PII_ROUTES)
+    assert set(config.thresholds) == {"DEFAULT"} and config.routable == route.PII_ROUTES.routable
+    with pytest.raises(Exception, match="different words"):
+        experiments.significance({"d": spark.createDataFrame([(1, 0, "O", None, "O")], "sample_id int, idx int, gold string, a string, b string")}, 5).collect()
+
+
+def test_spans_of_python_literals(spark):
+    raw = [("[{'label': \"o'x\", 'start': 1, 'end': 3, 'text': 'a'}]",), ('[{"label": "b", "start": 0, "end": 1}]',), ("[",), (None,)]
+    got = [[x.label for x in r.v] for r in spark.createDataFrame(raw, "r string").select(adapters.parse_spans(F.col("r")).alias("v")).collect()]
+    assert got == [["o'x"], ["b"], [], []]

@@ -95,17 +95,20 @@ def uncertain(entropy: Column, confidence: Column, entropy_above, confidence_bel
 
 # --- text --------------------------------------------------------------------------------------
 def context(text: Column, start: Column, end: Column, window: int = 400) -> Column:
-    """The text around [start, end), cut at a blank, line feed or full stop, on one line, with the target marked.
+    """The text up to ``window`` characters on either side of [start, end), grown outwards to the next blank, line feed or full stop,
+    on one line between dots, with the target marked and left as it is.
 
-    The character at which the context starts is dropped even if it is the first of the text."""
-    half = window // 2
-    low = F.greatest(F.lit(0), start - half)
-    before = F.substring(text, low + 1, start - low)
-    cut_left = F.when(low > 0, F.regexp_replace(before, r"(?s)^[^ \n.]*[ \n.]", "")).otherwise(before)
-    after = F.substring(text, end + 1, F.lit(half))
-    cut_right = F.when(F.length(text) > end + half, F.regexp_replace(after, r"(?s)[ \n.][^ \n.]*$", "")).otherwise(after)
-    target = F.substring(text, start + 1, end - start)
-    return F.regexp_replace(F.concat(cut_left, F.lit(">>> "), target, F.lit(" <<<"), cut_right), r"\n", " ")
+    A left side that is cut starts behind its boundary; if there is none the first character of the text is left out."""
+    low = F.greatest(F.lit(0), start - window)
+    tail = F.length(F.regexp_extract(F.substring(text, F.lit(1), low + 1), r"[^ \n.]*\z", 0))
+    first = F.when(low > 0, F.greatest(F.lit(1), low - tail + 1)).otherwise(low)
+    high = F.least(F.length(text), end + window)
+    last = high + F.length(F.regexp_extract(F.substring(text, high + 1, F.length(text)), r"\A[^ \n.]*", 0))
+
+    def line(a: Column, b: Column) -> Column:
+        return F.replace(F.substring(text, a + 1, b - a), F.lit("\n"), F.lit(" "))
+
+    return F.concat(F.lit("..."), line(first, start), F.lit(">>> "), F.substring(text, start + 1, end - start), F.lit(" <<<"), line(end, last), F.lit("..."))
 
 
 def length_bucket(n_chars: Column) -> Column:
@@ -129,6 +132,23 @@ def safe_name(name: Column) -> Column:
     return F.translate(F.lower(name), " /()", "__")
 
 
+def short_name(system: Column) -> Column:
+    """A display name: of "Family Hybrid V2 (model)" or "Family Hybrid (model)" the version and the model, else the name."""
+    version = F.regexp_extract(system, r"(Hybrid V2|Hybrid) \((.*)\)$", 1)
+    model = F.regexp_extract(system, r"(Hybrid V2|Hybrid) \((.*)\)$", 2)
+    return F.when(version == "", system).otherwise(F.concat(F.replace(version, F.lit("Hybrid V2"), F.lit("V2")), F.lit(" ("), model, F.lit(")")))
+
+
+def display_order(system: Column, names) -> Column:
+    """The place of a system in ``names``; others come after all of them."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), system), F.lit(0)) - 1, F.lit(len(names)).cast("long"))
+
+
+def is_hybrid(system: Column) -> Column:
+    """Systems with an arbiter, by their name; folders of summaries are none."""
+    return F.lower(system).contains("hybrid") & ~F.lower(system).contains("summary")
+
+
 def model_name(system: Column) -> Column:
     """What stands in parentheses in a system's name, or the name."""
     inside = F.regexp_extract(system, r"\(([^)]*)\)", 1)

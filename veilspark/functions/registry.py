@@ -11,6 +11,10 @@ PII_CLASSES = (
     "GIVENNAME", "SURNAME", "TITLE", "CITY", "STREET", "BUILDINGNUM", "ZIPCODE", "IDCARDNUM", "PASSPORTNUM", "DRIVERLICENSENUM",
     "SOCIALNUM", "TAXNUM", "CREDITCARDNUMBER", "EMAIL", "TELEPHONENUM", "DATE", "TIME", "AGE", "SEX", "GENDER",
 )
+#: Classes of the model with an I-only vocabulary, all shared with the arbiter.
+RESTRICTED_CLASSES = (
+    "GIVENNAME", "SURNAME", "EMAIL", "TELEPHONENUM", "CITY", "STREET", "ZIPCODE", "SOCIALNUM", "TAXNUM", "CREDITCARDNUMBER", "DRIVERLICENSENUM", "IDCARDNUM", "BUILDINGNUM",
+)
 BIOMEDICAL_CLASSES = ("Chemical", "Disease")
 FINANCIAL_CLASSES = (
     "Advisors.GENERIC_CONSULTING_COMPANY", "Advisors.LEGAL_CONSULTING_COMPANY", "Generic_Info.ANNUAL_REVENUES",

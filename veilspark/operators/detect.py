@@ -44,12 +44,13 @@ def with_matches(docs: DataFrame, text: str = "text", patterns=PATTERNS) -> Data
 
     found = [tagged(k, *p) for k, p in enumerate(patterns, 1)]
     kind = "array<struct<priority:int,class:string,s:int,e:int,match:string,valid:boolean,force:boolean>>"
-    return docs.withColumn("matches", F.when(source.rlike("[0-9@]"), F.concat(*found)).otherwise(F.array().cast(kind)))
+    none = F.array().cast(kind)
+    return docs.withColumn("matches", F.when(source.rlike("[0-9@]"), F.concat(*found)).otherwise(none) if found else none)
 
 
-def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns=PATTERNS) -> DataFrame:
     """One row per match: key, priority, class, s, e, match, valid, force."""
-    return exploded(with_matches(docs.select(key, text), text), F.col("matches"), key).select(key, "m.*")
+    return exploded(with_matches(docs.select(key, text), text, patterns), F.col("matches"), key).select(key, "m.*")
 
 
 def exploded(df: DataFrame, found: Column, *keep: str) -> DataFrame:

@@ -84,15 +84,15 @@ def by_frequency(tokens: DataFrame) -> DataFrame:
 
 
 def errors(tokens: DataFrame, kind: str, labels=None, limit: int = 500) -> DataFrame:
-    """The first ``limit`` false positives ("fp") or negatives ("fn") in document order with three words on either side. A top-k
-    report: limit is the feature."""
+    """The first ``limit`` false positives ("fp": gold O, an entity predicted) or negatives ("fn": a gold entity, predicted O) in document
+    order with three words on either side; an entity taken for another is neither. Words with a class outside ``labels`` on either
+    side are skipped. A top-k report: limit is the feature."""
     w = sequence()
     around = F.array_join(F.collect_list("token").over(w.rowsBetween(-3, 3)), " ")
-    rows = tokens.withColumn("context", around).where("gold <> pred")
-    side = "pred" if kind == "fp" else "gold"
-    rows = rows.where(F.col(side) != "O")
+    one, other = ("pred", "gold") if kind == "fp" else ("gold", "pred")
+    rows = tokens.withColumn("context", around).where((F.col(one) != "O") & (F.col(other) == "O"))
     if labels is not None:
-        rows = rows.where(entity(F.col(side)).isin(*labels))
+        rows = rows.where(entity(F.col(one)).isin(*labels))
     return rows.orderBy("sample_id", "idx").limit(limit).select("sample_id", "idx", "token", "context", "pred", "gold")
 
 
@@ -153,6 +153,53 @@ def rank_systems(df: DataFrame, score: str = "f1_macro") -> DataFrame:
 
 
 def pareto(df: DataFrame, cost: str, score: str) -> DataFrame:
-    """Rows that nothing cheaper beats: the running maximum by rising cost. One row per system meets here."""
-    w = W.orderBy(F.col(cost), F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("on_front", F.coalesce(F.col(score) > F.max(score).over(w), F.lit(True)))
+    """Rows that nothing cheaper beats: by rising cost, then score, those that reach the running maximum; ties stay. One row per system meets here."""
+    w = W.orderBy(F.col(cost), F.col(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.withColumn("on_front", F.col(score) >= F.max(score).over(w))
+
+
+def reverse_alignment(alignment: DataFrame) -> DataFrame:
+    """(system, dataset, ds_label, sys_label): of several system labels for a dataset label the last one, by (sys_label, ord)."""
+    return alignment.groupBy("system", "dataset", "ds_label").agg(F.max_by("sys_label", F.struct("sys_label", "ord")).alias("sys_label"))
+
+
+def mean_by_entity(labels: DataFrame) -> DataFrame:
+    """(entity, f1): mean F1 of the rows of per_label() of a class, its B- and I-."""
+    return labels.where("label <> 'O'").groupBy(entity(F.col("label")).alias("entity")).agg(F.avg("f1").alias("f1"))
+
+
+def delta(df: DataFrame, baseline: str, score: str = "f1_macro", by: str = "dataset", higher: bool = True) -> DataFrame:
+    """``df`` (system, by, score) with delta to the ``baseline`` system of the same ``by`` (null where it has none) and best, whether none is better."""
+    base = df.where(F.col("system") == baseline).groupBy(by).agg(F.max(score).alias("_base"))
+    best = (F.max if higher else F.min)(score).over(W.partitionBy(by))
+    return df.join(F.broadcast(base), by, "left").withColumn("delta", F.col(score) - F.col("_base")).withColumn("best", F.col(score) == best).drop("_base")
+
+
+def paired_domains(rows: DataFrame, base: str, hybrid: str, scores=("f1_macro", "entity_f1")) -> DataFrame:
+    """One row per domain from (domain, system, scores): both systems' scores side by side and the delta. Domains that lack one are left out."""
+    a, b = (rows.where(F.col("system") == s).select("domain", *[F.col(c).alias(f"{c}_{side}") for c in scores]) for s, side in ((base, "base"), (hybrid, "hybrid")))
+    return a.join(b, "domain").select("*", *[(F.col(f"{c}_hybrid") - F.col(f"{c}_base")).alias(f"{c}_delta") for c in scores])
+
+
+def variant_grid(df: DataFrame, variants: list[str], score: str = "f1_macro") -> DataFrame:
+    """One row per model, one column per variant; a combination that wasn't run is 0."""
+    return df.groupBy("model").pivot("variant", variants).agg(F.max(score)).na.fill(0.0)
+
+
+def intervention_report(tokens: DataFrame) -> DataFrame:
+    """One row of (gold, base, hybrid, entropy) over words with a gold entity or a prediction: n_active, both accuracies, share of words
+    changed, of the changes those that corrected, mean entropy of right and wrong base labels."""
+    active = tokens.where("gold <> 'O' or base <> 'O' or hybrid <> 'O'")
+    right, changed = F.col("base") == F.col("gold"), F.col("base") != F.col("hybrid")
+    return active.agg(
+        F.count(F.lit(1)).alias("n_active"), F.avg(right.cast("double")).alias("base_accuracy"), F.avg((F.col("hybrid") == F.col("gold")).cast("double")).alias("hybrid_accuracy"),
+        F.avg(changed.cast("double")).alias("intervention_rate"), F.sum((changed & (F.col("hybrid") == F.col("gold"))).cast("long")).alias("corrections"),
+        F.avg(F.when(right, F.col("entropy"))).alias("entropy_right"), F.avg(F.when(~right, F.col("entropy"))).alias("entropy_wrong"),
+    )
+
+
+def span_evaluation(tokens: DataFrame, timings: DataFrame, warm_up: int = 10) -> DataFrame:
+    """Entity scores (strict) and latency of one run: the first ``warm_up`` samples, by sample_id, aren't timed. timings: (sample_id, ms)."""
+    first = timings.orderBy("sample_id").limit(warm_up).select("sample_id")
+    timed = latency(timings.join(first, "sample_id", "left_anti"), "ms")
+    return entity_scores(tokens, strict=True).crossJoin(timed)

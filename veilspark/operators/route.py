@@ -8,43 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import entity, uncertain
-from ..functions.registry import PII_ROUTES, RouteConfig
+from ..functions.registry import PII_CLASSES, PII_ROUTES, RouteConfig
 from .tokens import sequence
 
 
 def thresholds(cls: Column, config: RouteConfig) -> tuple[Column, Column]:
-    """(entropy, confidence) thresholds of a class: its own or the defaults."""
-    entropy, confidence = F.lit(config.entropy), F.lit(config.confidence)
+    """(entropy, confidence) thresholds of a class: its own, those of "DEFAULT", or the configuration's."""
+    entropy, confidence = config.thresholds.get("DEFAULT", (config.entropy, config.confidence))
+    entropy, confidence = F.lit(entropy), F.lit(confidence)
     for name, (e, c) in config.thresholds.items():
-        entropy, confidence = F.when(cls == name, e).otherwise(entropy), F.when(cls == name, c).otherwise(confidence)
+        if name != "DEFAULT":
+            entropy, confidence = F.when(cls == name, e).otherwise(entropy), F.when(cls == name, c).otherwise(confidence)
     return entropy, confidence
 
 
 def decision(label: Column, entropy: Column, confidence: Column, config: RouteConfig = PII_ROUTES) -> Column:
-    """routed, routed_o, or what blocked it: blocked_by_threshold, blocked_by_continuation, blocked_by_entity."""
+    """routed, routed_o, or what blocked it: blocked_by_threshold, blocked_by_continuation, blocked_by_entity.
+
+    O is a class like others to ``blocked`` and ``routable``; where ``routable`` leaves it out it is routed from ``o_multiplier`` times
+    the threshold on. What falls through counts as blocked by threshold. ``routable_inside`` None blocks no I-."""
     cls = entity(label)
     above, below = thresholds(cls, config)
-    unsure = uncertain(entropy, confidence, above, below)
-    inside = label.startswith("I-")
-
-    def member(names) -> Column:
-        return F.lit(True) if names is None else cls.isin(*names) if names else F.lit(False)
-
-    out = F.when(~unsure, "blocked_by_threshold")
+    out = F.when(~uncertain(entropy, confidence, above, below), "blocked_by_threshold")
     if not config.selective:
         return out.otherwise("routed")
-    if config.block_inside:
-        out = out.when(inside & ~(member(config.routable_inside) if config.routable_inside is not None else F.lit(False)), "blocked_by_continuation")
-    out = out.when((label != "O") & (member(config.blocked) if config.blocked else F.lit(False)), "blocked_by_entity")
-    out = out.when((label != "O") & member(config.routable), "routed")
-    out = out.when((label == "O") & (entropy > config.o_multiplier * above), "routed_o")
-    return out.otherwise("blocked_by_entity")
+    if config.block_inside and config.routable_inside is not None:
+        out = out.when(label.startswith("I-") & ~cls.isin(*config.routable_inside), "blocked_by_continuation")
+    out = out.when(cls.isin(*config.blocked), "blocked_by_entity")
+    if config.routable is None:
+        return out.otherwise("routed")
+    out = out.when(cls.isin(*config.routable), "routed")
+    return out.when((label == "O") & (entropy > config.o_multiplier * above), "routed_o").otherwise("blocked_by_threshold")
 
 
-def legacy_decision(label: Column, entropy: Column, confidence: Column, blocked=(), config: RouteConfig = PII_ROUTES) -> Column:
-    """The token router without classes: uncertain and not blocked; O is never blocked."""
-    free = (label == "O") | ~entity(label).isin(*blocked) if blocked else F.lit(True)
-    return uncertain(entropy, confidence, config.entropy, config.confidence) & free
+def legacy_decision(label: Column, entropy: Column, confidence: Column, blocked=(), routable=PII_CLASSES, config: RouteConfig = PII_ROUTES) -> Column:
+    """The token router with one pair of thresholds: uncertain, and O or a routable class that isn't blocked; unknown classes are not routed."""
+    cls = entity(label)
+    unsure = uncertain(entropy, confidence, config.entropy, config.confidence)
+    if not config.selective:
+        return unsure
+    return unsure & ~cls.isin(*blocked) & ((cls == "O") | cls.isin(*routable))
 
 
 def route_stats(decided: DataFrame) -> DataFrame:
@@ -127,3 +130,30 @@ def pending(tokens: DataFrame, spans: DataFrame, found: DataFrame, key: str = "s
     unsure = spans.where("is_uncertain")
     settled = covered(unsure, found, key).select(key, "span_id")
     return unsure.join(settled, [key, "span_id"], "left_anti").join(before, [key, "first_idx"])
+
+
+def hint_spans(tokens: DataFrame, found: DataFrame, taken: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Pattern hits where the model says O: (key, indices, first_idx, last_idx, class, s, e, prev_label), to be judged by the arbiter.
+
+    A word belongs to the first validated hit, by (priority, s, e), that overlaps it, if its label is O and it lies in none of the
+    spans ``taken`` (key, first_idx, last_idx) that are pending already. One hit after the other takes what the ones before it left, so
+    the first hit of a word is all that matters."""
+    order = sequence(key)
+    t = tokens.where("e > s").select(key, "idx", "s", "e", "label")
+    hit = found.where("valid").select(F.col(key).alias("_k"), F.struct("priority", F.col("s").alias("hs"), F.col("e").alias("he"), "class").alias("_hit"))
+    free = t.where("label = 'O'").join(taken.select(F.col(key).alias("_t"), "first_idx", "last_idx"), (F.col(key) == F.col("_t")) & F.col("idx").between(F.col("first_idx"), F.col("last_idx")), "left_anti")
+    owned = free.join(hit, (F.col(key) == F.col("_k")) & (F.col("e") > F.col("_hit.hs")) & (F.col("s") < F.col("_hit.he"))).groupBy(key, "idx").agg(F.min("_hit").alias("_hit"))
+    before = tokens.select(key, F.col("idx").alias("first_idx"), F.lag("label", 1, "O").over(order).alias("prev_label"))
+    out = owned.groupBy(key, "_hit").agg(F.array_sort(F.collect_list("idx")).alias("indices"))
+    out = out.select(key, "indices", F.col("indices")[0].alias("first_idx"), F.array_max("indices").alias("last_idx"), F.col("_hit.class").alias("class"), F.col("_hit.hs").alias("s"), F.col("_hit.he").alias("e"))
+    return out.join(before, [key, "first_idx"]).select(key, "indices", "first_idx", "last_idx", "class", "s", "e", "prev_label")
+
+
+def shared_only(spans: DataFrame, shared) -> DataFrame:
+    """Spans of classes that the model and the arbiter share: a restricted vocabulary routes nothing else."""
+    return spans.where(F.col("class").isin(*shared))
+
+
+def route_counters(pending: DataFrame, kind: str = "kind") -> DataFrame:
+    """(kind, n): what goes to the arbiter by kind (entity, hint, o_span)."""
+    return pending.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))

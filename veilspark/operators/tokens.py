@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +16,46 @@ from ..functions.columns import entity
 from ..functions.registry import STRIDE, WINDOW
 
 _WORD = re.compile(r"\S+")
+_PIECE = re.compile(r"\w+|[^\w\s]")
 _TOKENS = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
 
+def _found(pattern: re.Pattern, column: pa.Array, most: int | None = None) -> pa.Array:
+    """All matches of a pattern with their offsets, built column by column."""
+    tokens, starts, edges, numbers = [], [], [0], []
+    for text in column.to_pylist():
+        found = list(itertools.islice(pattern.finditer(text or ""), most))
+        tokens += [m[0] for m in found]
+        starts += [m.start() for m in found]
+        numbers += range(len(found))
+        edges.append(len(tokens))
+    s = pa.array(starts, pa.int32())
+    words = pa.array(tokens, pa.string())
+    rows = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), words, s, pc.add(s, pc.utf8_length(words))], ["idx", "token", "s", "e"])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)
+
+
 @F.arrow_udf(_TOKENS)
 def word_tokens(text: pa.Array) -> pa.Array:
     """Runs without Unicode white space and their code-point offsets. Spark has no expression that yields the positions of
     all matches; over words a fold would copy its array per word, and a window would shuffle every word."""
-    rows = [[{"idx": i, "token": m[0], "s": m.start(), "e": m.end()} for i, m in enumerate(_WORD.finditer(t or ""))] for t in text.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("idx", pa.int32()), ("token", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))
+    return _found(_WORD, text)
+
+
+def pieces(text: Column, most: int = 512) -> Column:
+    """The first ``most`` pieces of a text with offsets: a stand-in for a model's own tokenizer, runs of letters and digits or one other
+    character. A model reads no more, so the limit is the feature."""
+
+    @F.arrow_udf(_TOKENS)
+    def cut(column: pa.Array) -> pa.Array:
+        return _found(_PIECE, column, most)
+
+    return cut(text)
+
+
+def word_count(text: Column) -> Column:
+    """How many words word_tokens() finds, in the JVM."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]+")).cast("long"), F.lit(0).cast("long"))
 
 
 def joined_offsets(tokens: Column) -> Column:
@@ -109,3 +142,21 @@ def bio_spans(df: DataFrame, key: str = "sample_id", strict: bool = False) -> Da
     if strict:
         out = out.where("_first like 'B-%'")
     return out.select(key, entity(F.col("_first")).alias("class"), "first_idx", "last_idx")
+
+
+def character_spans(pieces: DataFrame, text: str = "text", key: str = "sample_id") -> DataFrame:
+    """(key, class, s, e, span): character spans of a model's pieces (key, idx, s, e, label, text), whatever their prefixes: B- starts one, I- of
+    the same class goes on, any other I- starts one, too."""
+    spans = bio_spans(pieces, key)
+    first = pieces.select(key, F.col("idx").alias("first_idx"), "s", text)
+    last = pieces.select(key, F.col("idx").alias("last_idx"), "e")
+    out = spans.join(first, [key, "first_idx"]).join(last, [key, "last_idx"])
+    return out.select(key, "class", "s", "e", F.substring(F.col(text), F.col("s") + 1, F.col("e") - F.col("s")).alias("span"))
+
+
+def expanded_vocabulary(labels: DataFrame) -> DataFrame:
+    """(new_id, label, raw_id) of a vocabulary (label_id, label) of O and I- labels: each I- label becomes a B- and an I- one, ids in order.
+    One row per label of a model meets here."""
+    both = F.when(F.col("label") == "O", F.array(F.lit("O"))).when(F.col("label").startswith("I-"), F.array(F.concat(F.lit("B-"), entity(F.col("label"))), F.col("label"))).otherwise(F.array().cast("array<string>"))
+    rows = labels.select(F.col("label_id").alias("raw_id"), F.posexplode(both).alias("k", "label"))
+    return rows.select((F.row_number().over(W.orderBy("raw_id", "k")) - 1).alias("new_id"), "label", "raw_id")

@@ -12,7 +12,7 @@ from ..sources import adapters
 #: Dataset readers by name.
 DATASETS = {
     "ai4privacy": adapters.read_ai4privacy, "nvidia-pii": adapters.read_nemotron, "wikineural": adapters.read_wikineural, "bc5cdr": adapters.read_bc5cdr,
-    "finer-139": adapters.read_labelled_jsonl, "buster": lambda spark, path: adapters.read_labelled_jsonl(spark, path, "labels", "document_id"),
+    "finer-139": adapters.read_labelled_jsonl, "buster": lambda spark, path: adapters.read_folds(spark, path, (5,)),
 }
 
 
@@ -34,15 +34,24 @@ def ablation(tokens: DataFrame) -> DataFrame:
     return evaluate.averages(evaluate.per_label(decided.withColumn("pred", F.when(routed, F.col("fixed")).otherwise(F.col("pred"))), ["variant"]), ["variant"])
 
 
+def sample_scores(words: DataFrame) -> DataFrame:
+    """(sample_id, a, b): strict entity F1 of each sample for both systems of words (sample_id, idx, gold, a, b); 0 where there is no entity."""
+    out = words.select("sample_id").distinct()
+    for c in ("a", "b"):
+        f1 = evaluate.entity_scores(words.withColumn("pred", F.col(c)), ["sample_id"], strict=True).select("sample_id", F.col("f1").alias(c))
+        out = out.join(f1, "sample_id", "left")
+    return out.select("sample_id", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+
+
 def significance(domains: dict[str, DataFrame], replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """One row per domain from words (sample_id, idx, gold, a, b) that both systems labelled: per-sample accuracy compared by bootstrap,
-    per-word agreement by McNemar's test, with stars. Comparing different sample sets is an error, not a result."""
+    """One row per domain from words (sample_id, idx, gold, a, b) that both systems labelled: per-sample strict entity F1 compared by
+    bootstrap, per-word agreement by McNemar's test, with stars. Comparing different sample sets is an error when the row is computed."""
     out = None
     for name, words in domains.items():
-        if words.where("a is null or b is null").limit(1).count():
-            raise ValueError(f"{name}: the systems labelled different words")
+        missing = F.raise_error(F.lit(f"{name}: the systems labelled different words"))
+        words = words.withColumns({c: F.coalesce(c, missing) for c in ("a", "b")})
         right = {c: F.col(c) == F.col("gold") for c in ("a", "b")}
-        scores = words.groupBy("sample_id").agg(*[F.avg(right[c].cast("double")).alias(c) for c in right])
+        scores = sample_scores(words)
         row = calibrate.paired_bootstrap(scores, replicates, seed).withColumnRenamed("p", "bootstrap_p").crossJoin(calibrate.mcnemar(words.select(right["a"].alias("right_a"), right["b"].alias("right_b"))).withColumnRenamed("p", "mcnemar_p"))
         row = row.select(F.lit(name).alias("domain"), "*", stars(F.col("bootstrap_p")).alias("stars"))
         out = row if out is None else out.unionByName(row)

@@ -121,7 +121,7 @@ def pages_pii_hits(spark, d):
 )
 def conversation_turn_pii(spark, d):
     rows = detect.with_matches(read(spark, d, "conversations"))
-    return rows.select("conv_id", "turn", F.size(tk.word_tokens(F.col("text"))).cast("long").alias("n_words"), F.size(F.filter("matches", lambda m: m["class"] == "EMAIL")).cast("long").alias("n_emails"))
+    return rows.select("conv_id", "turn", tk.word_count(F.col("text")).alias("n_words"), F.size(F.filter("matches", lambda m: m["class"] == "EMAIL")).cast("long").alias("n_emails"))
 
 
 @query("pattern_hits_by_class_lang", f"WITH {DOCS} SELECT class, lang, count(*) AS n, sum(valid::INT)::BIGINT AS n_valid, count(DISTINCT m.doc_id) AS n_docs FROM m JOIN documents USING (doc_id) GROUP BY ALL")
@@ -194,11 +194,17 @@ s AS (SELECT doc_id, n, unnest(CASE WHEN n > 510 THEN range(0, n, 382) ELSE [0]
 SELECT doc_id, st::INT AS start, (CASE WHEN st + 510 >= n THEN n ELSE least(n, st + 382) END)::INT AS stop FROM s""",
 )
 def sliding_windows(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.size(tk.word_tokens(F.col("text"))).alias("n"))
+    rows = read(spark, d, "documents").select("doc_id", tk.word_count(F.col("text")).cast("int").alias("n"))
     return rows.select("doc_id", F.explode(tk.windows(F.col("n"))).alias("w")).select("doc_id", "w.start", "w.stop")
 
 
-@query("context_windows")
+@query(
+    "context_windows",
+    f"""WITH {DOCS}, x AS (SELECT m.*, text, greatest(0, s - 400) AS low, least(length(text), e + 400) AS high FROM m JOIN documents USING (doc_id)),
+y AS (SELECT *, CASE WHEN low > 0 THEN greatest(1, low + 1 - length(regexp_extract(substr(text, 1, low + 1), '[^ \\n.]*$'))) ELSE 0 END AS a,
+  high + length(regexp_extract(substr(text, high + 1), '^[^ \\n.]*')) AS b FROM x)
+SELECT doc_id, s, class, '...' || replace(substr(text, a + 1, s - a), chr(10), ' ') || '>>> ' || match || ' <<<' || replace(substr(text, e + 1, b - e), chr(10), ' ') || '...' AS context FROM y""",
+)
 def context_windows(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     return detect.exploded(detect.with_matches(docs), F.col("matches"), "doc_id", "text").select("doc_id", "m.s", "m.class", fn.context(F.col("text"), F.col("m.s"), F.col("m.e")).alias("context"))
@@ -209,11 +215,22 @@ def checksum_flags(spark, d):
     return detect.matches(read(spark, d, "documents")).where(F.col("class").isin("CREDITCARDNUMBER", "SOCIALNUM")).groupBy("class", "match").agg(F.count(F.lit(1)).alias("n"), F.max("valid").alias("valid"))
 
 
-@query("priority_fold")
+@query(
+    "priority_fold",
+    f"""WITH {DOCS},
+sg AS (SELECT doc_id, string_split(regexp_replace(text, '\\S+', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS segs FROM documents WHERE doc_id IN (SELECT doc_id FROM m)),
+si AS (SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM sg),
+wd AS (SELECT doc_id, i - 2 AS idx, sum(CASE WHEN i = 1 THEN length(seg) ELSE length(seg) - 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, length(split_part(seg, chr(2), 1)) AS n, i FROM si),
+r1 AS (SELECT m.doc_id, priority, m.s, class, min(idx) AS a, max(idx) AS b FROM m JOIN wd ON wd.doc_id = m.doc_id AND i > 1 AND wd.s < m.e AND wd.s + n > m.s WHERE valid GROUP BY ALL),
+w1 AS (SELECT * FROM r1 x WHERE NOT EXISTS (SELECT 1 FROM r1 y WHERE y.doc_id = x.doc_id AND y.a <= x.b AND y.b >= x.a AND (y.priority, y.s) < (x.priority, x.s))),
+l1 AS (SELECT * FROM r1 x WHERE NOT EXISTS (SELECT 1 FROM w1 y WHERE y.doc_id = x.doc_id AND y.a <= x.b AND y.b >= x.a)),
+w2 AS (SELECT * FROM l1 x WHERE NOT EXISTS (SELECT 1 FROM l1 y WHERE y.doc_id = x.doc_id AND y.a <= x.b AND y.b >= x.a AND (y.priority, y.s) < (x.priority, x.s)))
+SELECT 'promoted' AS action, class, count(*) AS n_matches, sum(b - a + 1)::BIGINT AS n_tokens FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2) GROUP BY class""",
+)
 def priority_fold(spark, d):
     rows = detect.with_matches(read(spark, d, "documents").select("doc_id", "text")).withColumn("tokens", tk.word_tokens(F.col("text")))
     folded = correct.fold_matches(F.transform("tokens", lambda t: F.lit("O")), F.col("tokens"), F.col("matches"))
-    return correct.action_counts(rows.where(F.size("matches") > 0).select(folded["actions"].alias("actions")))
+    return correct.action_counts(rows.select(folded["actions"].alias("actions")))
 
 
 # --- scored tokens -------------------------------------------------------------------------------
@@ -226,7 +243,7 @@ def softmax_entropy(spark, d):
 ROUTES = RouteConfig(routable=frozenset({"CITY", "DATE", "EMAIL"}), blocked=frozenset({"DATE"}), routable_inside=frozenset({"CITY"}), thresholds={"CITY": (1.2, 0.6)})
 _DECISION = """CASE WHEN NOT (entropy > CASE WHEN cls = 'CITY' THEN 1.2 ELSE 0.583 END AND confidence < CASE WHEN cls = 'CITY' THEN 0.6 ELSE 0.787 END) THEN 'blocked_by_threshold'
  WHEN pred LIKE 'I-%' AND cls <> 'CITY' THEN 'blocked_by_continuation' WHEN cls = 'DATE' THEN 'blocked_by_entity' WHEN cls IN ('CITY', 'EMAIL') THEN 'routed'
- WHEN pred = 'O' AND entropy > 1.5 * 0.583 THEN 'routed_o' ELSE 'blocked_by_entity' END"""
+ WHEN pred = 'O' AND entropy > 1.5 * 0.583 THEN 'routed_o' ELSE 'blocked_by_threshold' END"""
 
 
 def decided(spark, d):
@@ -238,6 +255,21 @@ def route_decisions(spark, d):
     return decided(spark, d).select("sample_id", "idx", "pred", "decision")
 
 
+#: Every class may be routed, O and continuations too; DATE and O are blocked in the second.
+_OPEN = "CASE WHEN entropy > 0.583 AND confidence < 0.787 THEN 'routed' ELSE 'blocked_by_threshold' END"
+
+
+@query(
+    "route_decisions_open",
+    f"WITH {TOK}, x AS (SELECT pred, {_OPEN} AS d1, CASE WHEN {_OPEN} = 'routed' AND cls IN ('DATE', 'O') THEN 'blocked_by_entity' ELSE {_OPEN} END AS d2, CASE WHEN {_OPEN} = 'routed' AND cls IN ('O', 'CITY', 'AGE') THEN 'routed' ELSE 'no' END AS d3 FROM tok) SELECT pred, d1, d2, d3, count(*) AS n FROM x GROUP BY ALL",
+)
+def route_decisions_open(spark, d):
+    at = (F.col("label"), F.col("entropy"), F.col("confidence"))
+    legacy = F.when(route.legacy_decision(*at, blocked=("EMAIL",), routable=("CITY", "AGE", "EMAIL")), "routed").otherwise("no")
+    rows = scored(spark, d).select("pred", route.decision(*at, RouteConfig()).alias("d1"), route.decision(*at, RouteConfig(blocked=frozenset({"DATE", "O"}))).alias("d2"), legacy.alias("d3"))
+    return rows.groupBy("pred", "d1", "d2", "d3").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "route_stats",
     f"""WITH {TOK}, x AS (SELECT {_DECISION} AS decision FROM tok)
@@ -303,6 +335,28 @@ def pending_requests(spark, d):
     return route.pending(tokens, spans, found).select("sample_id", "class", "first_idx", "last_idx", "prev_label")
 
 
+@query(
+    "hint_requests",
+    f"""WITH {_SPANS}, hit AS (SELECT sample_id, CASE gold WHEN 'B-EMAIL' THEN 2 ELSE 6 END AS priority, s AS hs, s + CASE gold WHEN 'B-EMAIL' THEN 8 ELSE 14 END AS he, substr(gold, 3) AS class FROM tok WHERE gold IN ('B-EMAIL', 'B-DATE')),
+own AS (SELECT t.sample_id, idx, hs, he, class, row_number() OVER (PARTITION BY t.sample_id, idx ORDER BY priority, hs, he, class) AS rn FROM tok t JOIN hit h ON h.sample_id = t.sample_id AND t.e > hs AND t.s < he
+  WHERE pred = 'O' AND NOT EXISTS (SELECT 1 FROM sp WHERE head LIKE 'B-%' AND is_uncertain AND sp.sample_id = t.sample_id AND t.idx BETWEEN sp.first_idx AND sp.last_idx)),
+pv AS (SELECT sample_id, idx, coalesce(lag(pred) OVER (PARTITION BY sample_id ORDER BY idx), 'O') AS prev_label FROM tok),
+hs AS (SELECT sample_id, class, hs AS s, he AS e, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n FROM own WHERE rn = 1 GROUP BY sample_id, class, hs, he)
+SELECT hs.*, prev_label FROM hs JOIN pv ON pv.sample_id = hs.sample_id AND pv.idx = hs.first_idx""",
+)
+def hint_requests(spark, d):
+    tokens = scored(spark, d)
+    email = F.col("gold") == "B-EMAIL"
+    found = tokens.where("gold in ('B-EMAIL', 'B-DATE')").select("sample_id", F.when(email, 2).otherwise(6).alias("priority"), fn.entity(F.col("gold")).alias("class"), "s", (F.col("s") + F.when(email, 8).otherwise(14)).alias("e"), F.lit(True).alias("valid"))
+    spans = route.hint_spans(tokens, found, route.entity_spans(tokens).where("is_uncertain"))
+    return spans.select("sample_id", "class", "s", "e", "first_idx", "last_idx", F.size("indices").cast("long").alias("n"), "prev_label")
+
+
+@query("restricted_routes", f"WITH {_SPANS} SELECT class, count(*) AS n FROM sp WHERE head LIKE 'B-%' AND class IN ('CITY', 'EMAIL') GROUP BY class")
+def restricted_routes(spark, d):
+    return route.shared_only(route.entity_spans(scored(spark, d)), ("CITY", "EMAIL")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SIMPLE = "(SELECT sample_id, class, s, e, first_idx FROM sp WHERE head LIKE 'B-%')"
 
 
@@ -417,26 +471,36 @@ def frequency_buckets(spark, d):
     return _round(evaluate.by_frequency(scored(spark, d)), "f1_macro")
 
 
-@query("length_bucket_scores")
+@query(
+    "length_bucket_scores",
+    f"""WITH {TOK}, z AS (SELECT sample_id, sum(length(token)) + sample_id * 30 AS n FROM tok GROUP BY sample_id), k AS (SELECT sample_id, CASE WHEN n < 128 THEN 'short' WHEN n < 512 THEN 'medium' ELSE 'long' END AS bucket FROM z),
+t AS (SELECT * FROM tok JOIN k USING (sample_id)), lab AS (SELECT bucket, gold AS label FROM t UNION SELECT bucket, pred FROM t),
+pl AS (SELECT t.bucket, label, sum((gold = label AND pred = label)::INT) AS tp, sum((pred = label)::INT) AS np, sum((gold = label)::INT) AS ng FROM t JOIN lab ON lab.bucket = t.bucket WHERE label <> 'O' GROUP BY t.bucket, label),
+f AS (SELECT bucket, avg(2 * tp / (np + ng)) AS f1 FROM pl GROUP BY bucket), c AS (SELECT bucket, count(*) AS n FROM k GROUP BY bucket)
+SELECT b.bucket, coalesce(n, 0)::BIGINT AS n_samples, round(coalesce(f1, 0), 8) AS f1_macro FROM (VALUES ('short'), ('medium'), ('long')) b(bucket) LEFT JOIN c ON c.bucket = b.bucket LEFT JOIN f ON f.bucket = b.bucket""",
+)
 def length_bucket_scores(spark, d):
     tokens = scored(spark, d)
     samples = tokens.groupBy("sample_id").agg((F.sum(F.length("token")) + F.col("sample_id") * 30).alias("n_chars"))
     return _round(evaluate.by_length(tokens, samples), "f1_macro")
 
 
-def _errors_sql(side: str) -> str:
+_EVALUATED = ("CITY", "DATE", "EMAIL")
+
+
+def _errors_sql(side: str, other: str) -> str:
     return f"""WITH {TOK}, x AS (SELECT *, list_aggregate(list(token) OVER (PARTITION BY sample_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 'string_agg', ' ') AS context FROM tok)
-SELECT sample_id, idx, token, context, pred, gold FROM x WHERE gold <> pred AND {side} <> 'O' ORDER BY sample_id, idx LIMIT 500"""
+SELECT sample_id, idx, token, context, pred, gold FROM x WHERE {other} = 'O' AND regexp_replace({side}, '^[BI]-', '') IN {_EVALUATED} ORDER BY sample_id, idx LIMIT 500"""
 
 
-@query("false_positives_top500", _errors_sql("pred"))
+@query("false_positives_top500", _errors_sql("pred", "gold"))
 def false_positives_top500(spark, d):
-    return evaluate.errors(scored(spark, d), "fp")
+    return evaluate.errors(scored(spark, d), "fp", _EVALUATED)
 
 
-@query("false_negatives_top500", _errors_sql("gold"))
+@query("false_negatives_top500", _errors_sql("gold", "pred"))
 def false_negatives_top500(spark, d):
-    return evaluate.errors(scored(spark, d), "fn")
+    return evaluate.errors(scored(spark, d), "fn", _EVALUATED)
 
 
 @query("latency_percentiles", "SELECT round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(count(value) / sum(value) * 1000, 6) AS per_second FROM events")
@@ -535,10 +599,17 @@ def arbiter_class_answers(spark, d):
     return rows.withColumn("v", arbiter.validate_class(F.col("raw"), F.col("cls"))).select("sample_id", "idx", "v.new_class", "v.valid")
 
 
-@query("arbiter_label_answers", f"WITH {TOK}, x AS (SELECT *, coalesce(lag(pred) OVER (PARTITION BY sample_id ORDER BY idx), 'O') AS prev FROM tok) SELECT sample_id, idx, CASE WHEN gold LIKE 'I-%' AND (prev = 'O' OR regexp_replace(prev, '^[BI]-', '') <> regexp_replace(gold, '^[BI]-', '')) THEN 'O' ELSE gold END AS label, NOT (gold LIKE 'I-%' AND (prev = 'O' OR regexp_replace(prev, '^[BI]-', '') <> regexp_replace(gold, '^[BI]-', ''))) AS valid FROM x")
+@query("arbiter_label_answers", f"WITH {TOK}, x AS (SELECT *, coalesce(lag(pred) OVER (PARTITION BY sample_id ORDER BY idx), 'O') AS prev FROM tok), y AS (SELECT *, gold LIKE 'I-%' AND (prev = 'O' OR regexp_replace(prev, '^[BI]-', '') <> regexp_replace(gold, '^[BI]-', '')) AS bad FROM x) SELECT sample_id, idx, CASE WHEN bad OR idx % 3 = 2 THEN 'O' ELSE gold END AS label, NOT bad AND idx % 3 < 2 AS valid, NOT (bad OR idx % 3 = 2 OR gold = 'O') AS is_pii, CASE WHEN idx % 3 = 2 THEN '' ELSE CASE WHEN bad THEN 'BIO violation rejected: ' ELSE '' END || CASE WHEN idx % 3 = 1 THEN 'a' || chr(125) ELSE '' END END AS reasoning FROM y")
 def arbiter_label_answers(spark, d):
-    rows = scored(spark, d).withColumn("prev", F.lag("pred", 1, "O").over(tk.sequence())).withColumn("raw", F.format_string('{"corrected_label": ["?", "%s"]}', "gold"))
-    return rows.withColumn("v", arbiter.validate_label(F.col("raw"), F.col("prev"), F.lit("O"), LABELS)).select("sample_id", "idx", "v.label", "v.valid")
+    rows = scored(spark, d).withColumn("prev", F.lag("pred", 1, "O").over(tk.sequence()))
+    raw = F.when(F.col("idx") % 3 == 0, F.format_string('{"corrected_label": ["?", "%s"]} and more {}', "gold")).when(F.col("idx") % 3 == 1, F.format_string('so {"label": " %s ", "reasoning": "a}"}', F.lower("gold"))).otherwise('{"corrected_label": "nope"}')
+    return rows.withColumn("v", arbiter.validate_label(raw, F.col("prev"), F.lit("O"), LABELS)).select("sample_id", "idx", "v.label", "v.valid", "v.is_pii", "v.reasoning")
+
+
+@query("arbiter_o_gate", f"WITH {TOK} SELECT sample_id, idx, CASE WHEN idx % 4 = 0 AND cls <> 'O' THEN cls WHEN idx % 4 = 3 THEN 'Planet' ELSE 'O' END AS new_class, (idx % 4 = 0 AND cls <> 'O') OR idx % 4 = 3 AS is_pii FROM tok")
+def arbiter_o_gate(spark, d):
+    raw = F.when(F.col("idx") % 4 == 0, F.format_string('{"is_pii": true, "entity_class": "B-%s"}', fn.entity(F.col("pred")))).when(F.col("idx") % 4 == 1, F.lit('{"entity_class": "CITY"}')).when(F.col("idx") % 4 == 2, F.lit("no")).otherwise('{"is_pii": true, "entity_class": " Planet "}')
+    return scored(spark, d).select("sample_id", "idx", arbiter.validate_o_span(raw).alias("v")).select("sample_id", "idx", "v.*")
 
 
 @query("class_to_bio", f"WITH {TOK}, x AS (SELECT *, coalesce(lag(pred) OVER (PARTITION BY sample_id ORDER BY idx), 'O') AS prev FROM tok) SELECT sample_id, idx, CASE WHEN cls = 'O' THEN 'O' WHEN prev <> 'O' AND regexp_replace(prev, '^[BI]-', '') = cls THEN 'I-' || cls ELSE 'B-' || cls END AS label FROM x")
@@ -553,13 +624,30 @@ def arbiter_requests_deduplicated(spark, d):
     return scored(spark, d).groupBy(key.alias("cache_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("arbiter_calls")
+@query(
+    "arbiter_calls",
+    f"WITH {TOK}, x AS (SELECT sample_id, idx, CASE idx % 3 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'TELEPHONENUM' ELSE cls END AS new_class FROM tok) SELECT *, new_class <> 'O' AS is_pii FROM x",
+)
 def arbiter_calls(spark, d):
-    rows = scored(spark, d).select("sample_id", "idx", F.col("token").alias("target"), F.lit("context").alias("context"), F.col("gold").alias("prev_label"), "pred")
+    tokens = scored(spark, d)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda t: F.rpad(t["token"], 5, " ")), " ")
+    texts = tokens.groupBy("sample_id").agg(text.alias("text"))
+    target = F.when(F.col("idx") % 3 == 0, F.concat("token", F.lit("@example.com"))).when(F.col("idx") % 3 == 1, F.concat(F.lit("555 0199 "), F.col("idx") + 10)).otherwise(F.col("token"))
+    rows = tokens.join(texts, "sample_id").select("sample_id", "idx", target.alias("target"), fn.context(F.col("text"), F.col("s"), F.col("e"), 40).alias("context"), F.col("gold").alias("prev_label"), "pred")
     answered = arbiter.ask(rows, arbiter.rule_backend).withColumn("v", arbiter.validate_class(F.col("raw"), fn.entity(F.col("pred"))))
     return answered.select("sample_id", "idx", "v.new_class", "v.is_pii")
 
 
+@query(
+    "arbiter_cache_stats",
+    f"WITH {TOK}, k AS (SELECT md5(concat_ws('|', 'w' || idx % 4, 'c', gold, pred)) AS key, pred FROM tok), p AS (SELECT key, count(*) AS n, bool_or(pred = 'O') AS known FROM k GROUP BY key) SELECT sum(n)::BIGINT AS requests, count(*) AS distinct_requests, (sum(n) - sum((NOT known)::INT))::BIGINT AS hits, sum((NOT known)::INT)::BIGINT AS misses, round((sum(n) - sum((NOT known)::INT)) / sum(n), 8) AS hit_rate FROM p",
+)
+def arbiter_cache_stats(spark, d):
+    key = arbiter.cache_key(F.concat(F.lit("w"), F.col("idx") % 4), F.lit("c"), F.col("gold"), F.col("pred"))
+    requests = scored(spark, d).select(key.alias("cache_key"), "pred")
+    return _round(arbiter.cache_stats(requests, requests.where("pred = 'O'").select("cache_key").distinct()), "hit_rate")
+
+
 @query("verdicts_applied", f"WITH {_SPANS}, v AS (SELECT *, first_idx % 3 AS k FROM sp WHERE head LIKE 'B-%' AND is_uncertain) SELECT t.sample_id, t.idx, CASE WHEN v.k IS NULL THEN pred WHEN v.k = 0 THEN CASE WHEN t.idx = v.first_idx THEN 'B-TIME' ELSE 'I-TIME' END ELSE 'O' END AS label FROM tok t LEFT JOIN v ON v.sample_id = t.sample_id AND t.idx BETWEEN v.first_idx AND v.last_idx")
 def verdicts_applied(spark, d):
     tokens = scored(spark, d)
@@ -573,38 +661,72 @@ ge AS (SELECT unnest(range(0, 30)) AS i), cells AS (SELECT 0.1 + a.i * (1.4 / 29
 sm AS (SELECT c.i, c.j, sum((entropy > et AND confidence < ct)::INT)::BIGINT AS triggered, sum((entropy > et AND confidence < ct AND err)::INT)::BIGINT AS hits, sum(err::INT)::BIGINT AS errors, count(*) AS total FROM sc, cells c GROUP BY c.i, c.j)"""
 
 
-def errors_of(tokens: DataFrame) -> DataFrame:
-    return tokens.select("entropy", "confidence", (fn.entity(F.col("pred")) != fn.entity(F.col("gold"))).alias("is_error"))
-
-
 @query(
     "expected_cost_grid",
-    f"WITH {_GRID} SELECT i, j, triggered, hits, round(CASE WHEN triggered > 0 THEN hits / triggered ELSE 0 END, 8) AS precision, round(hits / errors, 8) AS recall, round((total - errors - triggered + hits) / (total - errors), 8) AS specificity, round(triggered * 2e-5 + (errors - hits) * 1e-3, 10) AS expected_cost FROM sm",
+    f"WITH {_GRID} SELECT i, j, triggered, hits, round(CASE WHEN triggered > 0 THEN hits / triggered ELSE 0 END, 8) AS precision, round(hits / errors, 8) AS recall, round((total - errors - triggered + hits) / (total - errors), 8) AS specificity, round(triggered * 2e-5 + (errors - hits) * 1e-3, 10) AS expected_cost, round(errors * 1e-3, 10) AS baseline_cost, round(hits * 1e-3 - triggered * 2e-5, 10) AS cost_savings FROM sm",
 )
 def expected_cost_grid(spark, d):
-    cells = calibrate.grid_scores(errors_of(scored(spark, d)), calibrate.fixed_grid(spark))
+    cells = calibrate.savings(calibrate.grid_scores(calibrate.word_errors(scored(spark, d)), calibrate.fixed_grid(spark)))
     place = [F.round((F.col(c) - low) / (width / 29)).cast("long").alias(n) for c, low, width, n in (("ent_th", 0.1, 1.4, "i"), ("conf_th", 0.5, 0.49, "j"))]
-    return cells.select(*place, "triggered", "hits", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"), F.round("specificity", 8).alias("specificity"), F.round("expected_cost", 10).alias("expected_cost"))
+    return cells.select(*place, "triggered", "hits", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"), F.round("specificity", 8).alias("specificity"), *[F.round(c, 10).alias(c) for c in ("expected_cost", "baseline_cost", "cost_savings")])
 
 
-@query(
-    "calibrated_thresholds",
-    f"""WITH {TOK}, sc AS (SELECT entropy, confidence, cls <> regexp_replace(gold, '^[BI]-', '') AS err FROM tok),
+_BEST = f"""WITH {TOK}, sc AS (SELECT entropy, confidence, cls <> regexp_replace(gold, '^[BI]-', '') AS err FROM tok),
 q AS (SELECT greatest(0.01, quantile_cont(entropy, 0.4)) AS e0, least(4.0, quantile_cont(entropy, 0.995)) AS e1, greatest(0.3, quantile_cont(confidence, 0.005)) AS c0, least(0.999, quantile_cont(confidence, 0.6)) AS c1 FROM sc),
 k AS (SELECT unnest(range(0, 25)) AS i), cells AS (SELECT e0 + a.i * ((e1 - e0) / 24) AS et, c0 + b.i * ((c1 - c0) / 24) AS ct FROM q, k a, k b),
-sm AS (SELECT et, ct, sum((entropy > et AND confidence < ct)::INT)::BIGINT AS triggered, sum((entropy > et AND confidence < ct AND err)::INT)::BIGINT AS hits, sum(err::INT)::BIGINT AS errors FROM sc, cells GROUP BY et, ct),
-f AS (SELECT *, hits / triggered AS p, hits / errors AS r FROM sm WHERE triggered > 0), g AS (SELECT *, CASE WHEN 0.25 * p + r > 0 THEN 1.25 * p * r / (0.25 * p + r) ELSE 0 END AS fb FROM f)
-SELECT round(max(fb), 8) AS f_beta FROM g""",
+sm AS (SELECT et, ct, sum((entropy > et AND confidence < ct)::INT)::BIGINT AS triggered, sum((entropy > et AND confidence < ct AND err)::INT)::BIGINT AS hits, sum(err::INT)::BIGINT AS errors, count(*) AS n FROM sc, cells GROUP BY et, ct),
+f AS (SELECT *, hits / triggered AS p, hits / errors AS r FROM sm WHERE hits > 0), g AS (SELECT *, 1.25 * p * r / (0.25 * p + r) AS fb FROM f)
+"""
+
+
+@query(
+    "calibrated_thresholds",
+    _BEST + "SELECT round(et, 4) AS ent_th, round(ct, 4) AS conf_th, round(fb, 4) AS f_beta, round(p, 4) AS precision, round(r, 4) AS recall, round(triggered / n, 4) AS rate, triggered, hits, n AS n_tokens, errors AS n_errors FROM g ORDER BY fb DESC, et, ct LIMIT 1",
 )
 def calibrated_thresholds(spark, d):
-    rows = errors_of(scored(spark, d))
-    return calibrate.best_cell(calibrate.grid_scores(rows, calibrate.adaptive_grid(rows))).select(F.round("f_beta", 8).alias("f_beta"))
+    rows = calibrate.word_errors(scored(spark, d))
+    return calibrate.best_cell(calibrate.grid_scores(rows, calibrate.adaptive_grid(rows)))
+
+
+@query("calibrated_without_errors", f"WITH {TOK} SELECT 0.5::DOUBLE AS ent_th, 0.8::DOUBLE AS conf_th, 0.0::DOUBLE AS f_beta, 0::BIGINT AS triggered, 0::BIGINT AS hits, count(*) AS n_tokens, 0::BIGINT AS n_errors FROM tok")
+def calibrated_without_errors(spark, d):
+    rows = calibrate.word_errors(scored(spark, d).withColumn("gold", F.col("pred")))
+    out = calibrate.best_cell(calibrate.grid_scores(rows, calibrate.adaptive_grid(rows)))
+    return out.select("ent_th", "conf_th", "f_beta", F.col("triggered").cast("long"), F.col("hits").cast("long"), "n_tokens", "n_errors")
+
 
+@query(
+    "calibrated_routes",
+    _BEST + ", b AS (SELECT round(et, 4) AS et, round(ct, 4) AS ct FROM g ORDER BY fb DESC, g.et, g.ct LIMIT 1) SELECT pred, count(*) AS n FROM tok, b WHERE entropy > b.et AND confidence < b.ct AND (pred <> 'O' OR entropy > 1.5 * b.et) GROUP BY pred",
+)
+def calibrated_routes(spark, d):
+    tokens = scored(spark, d)
+    config, _ = calibrate.calibrate(tokens, route.PII_ROUTES)
+    decided_ = tokens.withColumn("decision", route.decision(F.col("label"), F.col("entropy"), F.col("confidence"), config))
+    return decided_.where(F.col("decision").isin("routed", "routed_o")).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
 
-@query("mcnemar_counts", "WITH x AS (SELECT sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS a, sum((quality <> 1 AND toxic <> 0)::INT)::BIGINT AS b FROM labels) SELECT a AS n_a_only, b AS n_b_only, round((abs(a - b) - 1) * (abs(a - b) - 1) / (a + b), 8) AS chi2 FROM x")
+
+@query(
+    "tokenized_stats",
+    f"WITH {TOK} SELECT round(avg(entropy), 8) AS entropy, round(avg(confidence), 8) AS confidence, sum((pred <> gold)::INT)::BIGINT AS errors, count(*) AS n FROM tok WHERE idx % 5 <> 4",
+)
+def tokenized_stats(spark, d):
+    names = F.array(*[F.lit(x) for x in LABELS])
+    label = F.when(F.col("idx") % 5 == 4, -100).otherwise((F.array_position(names, F.col("gold")) - 1).cast("int"))
+    rows = scored(spark, d).withColumn("label", label).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("idx", "logits", "label"))).alias("t"))
+    stats = calibrate.token_stats(rows.select(F.col("t.logits").alias("logits"), F.col("t.label").alias("labels")))
+    return stats.agg(F.round(F.avg("entropy"), 8).alias("entropy"), F.round(F.avg("confidence"), 8).alias("confidence"), F.sum(F.col("is_error").cast("long")).alias("errors"), F.count(F.lit(1)).alias("n"))
+
+
+@query("metric_intervals")
+def metric_intervals(spark, d):
+    return calibrate.metric_intervals(calibrate.word_errors(scored(spark, d)), 0.583, 0.787)
+
+
+@query("mcnemar_counts", "WITH x AS (SELECT sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS a, sum((quality <> 1 AND toxic <> 0)::INT)::BIGINT AS b FROM labels) SELECT a AS n_a_only, b AS n_b_only, round((abs(a - b) - 1) * (abs(a - b) - 1) / (a + b), 8) AS chi2, round(CASE WHEN a + b = 0 THEN 1 ELSE 0 END + CASE WHEN a + b > 0 AND abs(a - b) = 1 THEN 1 ELSE 0 END, 3) AS p_is_one FROM x")
 def mcnemar_counts(spark, d):
     out = calibrate.mcnemar(read(spark, d, "labels").select((F.col("quality") == 1).alias("right_a"), (F.col("toxic") != 0).alias("right_b")))
-    return out.select("n_a_only", "n_b_only", F.round("chi2", 8).alias("chi2"))
+    return out.select("n_a_only", "n_b_only", F.round("chi2", 8).alias("chi2"), F.floor("p").cast("double").alias("p_is_one"))
 
 
 @query("paired_bootstrap")
@@ -614,12 +736,12 @@ def paired_bootstrap(spark, d):
     return calibrate.paired_bootstrap(rows, 1000)
 
 
-_SYSTEMS = "SELECT event_type AS system, avg(value) AS cost, stddev_samp(value) / 100 AS f1_macro FROM events GROUP BY event_type"
+_SYSTEMS = "SELECT event_type AS system, avg(value) AS cost, (length(event_type) % 3)::DOUBLE / 10 AS f1_macro FROM events GROUP BY event_type"
 
 
-@query("pareto_front", f"WITH s AS ({_SYSTEMS}) SELECT system, coalesce(f1_macro > max(f1_macro) OVER (ORDER BY cost, f1_macro DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_front FROM s")
+@query("pareto_front", f"WITH s AS ({_SYSTEMS}) SELECT system, NOT EXISTS (SELECT 1 FROM s c WHERE (c.cost < s.cost OR c.cost = s.cost AND c.f1_macro < s.f1_macro) AND c.f1_macro > s.f1_macro) AS on_front FROM s")
 def pareto_front(spark, d):
-    rows = read(spark, d, "events").groupBy(F.col("event_type").alias("system")).agg(F.avg("value").alias("cost"), (F.stddev_samp("value") / 100).alias("f1_macro"))
+    rows = read(spark, d, "events").groupBy(F.col("event_type").alias("system")).agg(F.avg("value").alias("cost")).withColumn("f1_macro", (F.length("system") % 3) / 10.0)
     return evaluate.pareto(rows, "cost", "f1_macro").select("system", "on_front")
 
 
@@ -635,22 +757,114 @@ def boundary_regression(spark, d):
     return calibrate.boundary(rows, "x", "y").select("n", F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"), F.round("slope", 6).alias("slope"), F.round("r2", 8).alias("r2"))
 
 
-@query("entity_pivot", f"WITH {_PER} SELECT regexp_replace(label, '^[BI]-', '') AS entity, round(avg(f), 8) AS base FROM per WHERE support > 0 GROUP BY entity")
+@query(
+    "entity_pivot",
+    f"""WITH {TOK}, z AS (SELECT 'base' AS system, gold, pred FROM tok UNION ALL SELECT 'hybrid', gold, {_HYBRID} FROM tok), lab AS (SELECT DISTINCT gold AS label FROM tok WHERE gold <> 'O'),
+f AS (SELECT system, label, 2 * sum((gold = label AND pred = label)::INT) / (sum((gold = label)::INT) + sum((pred = label)::INT)) AS f1 FROM z, lab GROUP BY system, label)
+SELECT regexp_replace(label, '^[BI]-', '') AS entity, round(avg(f1) FILTER (system = 'base'), 8) AS base, round(avg(f1) FILTER (system = 'hybrid'), 8) AS hybrid FROM f GROUP BY entity""",
+)
 def entity_pivot(spark, d):
-    return _round(sinks.pivot_entities(evaluate.per_label(scored(spark, d)).withColumn("system", F.lit("base")), ["base"]), "base")
+    tokens = scored(spark, d)
+    both = tokens.select("gold", "pred", F.lit("base").alias("system")).unionByName(tokens.select("gold", F.expr(_HYBRID).alias("pred"), F.lit("hybrid").alias("system")))
+    return _round(sinks.pivot_entities(evaluate.per_label(both, ["system"]), ["base", "hybrid"]), "base", "hybrid")
+
+
+@query("mean_entity_f1", f"WITH {_PER} SELECT regexp_replace(label, '^[BI]-', '') AS entity, round(avg(f), 8) AS f1 FROM per GROUP BY entity")
+def mean_entity_f1(spark, d):
+    return _round(evaluate.mean_by_entity(evaluate.per_label(scored(spark, d))), "f1")
+
+
+_RUNS = "SELECT event_type AS system, (user_id % 3)::VARCHAR AS dataset, count(*)::DOUBLE AS f1_macro FROM events GROUP BY ALL"
+
+
+def _runs(spark, d):
+    return read(spark, d, "events").groupBy(F.col("event_type").alias("system"), (F.col("user_id") % 3).cast("string").alias("dataset")).agg(F.count(F.lit(1)).cast("double").alias("f1_macro"))
+
+
+@query("baseline_delta", f"WITH r AS ({_RUNS}) SELECT r.system, r.dataset, r.f1_macro, r.f1_macro - b.f1_macro AS delta, r.f1_macro = max(r.f1_macro) OVER (PARTITION BY r.dataset) AS best FROM r LEFT JOIN r b ON b.system = 'click' AND b.dataset = r.dataset")
+def baseline_delta(spark, d):
+    return evaluate.delta(_runs(spark, d), "click")
+
+
+@query("paired_domains", f"WITH r AS ({_RUNS}) SELECT a.dataset AS domain, a.f1_macro AS f1_macro_base, b.f1_macro AS f1_macro_hybrid, b.f1_macro - a.f1_macro AS f1_macro_delta FROM r a JOIN r b USING (dataset) WHERE a.system = 'click' AND b.system = 'purchase'")
+def paired_domains(spark, d):
+    return evaluate.paired_domains(_runs(spark, d).withColumnRenamed("dataset", "domain"), "click", "purchase", ("f1_macro",))
+
+
+@query("variant_grid", f"WITH r AS ({_RUNS}) SELECT system AS model, coalesce(max(f1_macro) FILTER (dataset = '0'), 0) AS \"0\", coalesce(max(f1_macro) FILTER (dataset = '1'), 0) AS \"1\", coalesce(max(f1_macro) FILTER (dataset = 'none'), 0)::DOUBLE AS \"none\" FROM r GROUP BY system")
+def variant_grid(spark, d):
+    return evaluate.variant_grid(_runs(spark, d).withColumnsRenamed({"system": "model", "dataset": "variant"}), ["0", "1", "none"])
+
+
+@query(
+    "intervention_report",
+    f"WITH {TOK}, x AS (SELECT gold, pred AS base, {_HYBRID} AS hybrid, entropy FROM tok) SELECT count(*) AS n_active, round(avg((base = gold)::INT), 8) AS base_accuracy, round(avg((hybrid = gold)::INT), 8) AS hybrid_accuracy, round(avg((base <> hybrid)::INT), 8) AS intervention_rate, sum((base <> hybrid AND hybrid = gold)::INT)::BIGINT AS corrections, round(avg(entropy) FILTER (base = gold), 8) AS entropy_right, round(avg(entropy) FILTER (base <> gold), 8) AS entropy_wrong FROM x WHERE NOT (gold = 'O' AND base = 'O' AND hybrid = 'O')",
+)
+def intervention_report(spark, d):
+    rows = scored(spark, d).select("gold", F.col("pred").alias("base"), F.expr(_HYBRID).alias("hybrid"), "entropy")
+    return _round(evaluate.intervention_report(rows), "base_accuracy", "hybrid_accuracy", "intervention_rate", "entropy_right", "entropy_wrong")
+
+
+@query("model_comparison", "WITH s AS (SELECT event_type AS model, avg(value) AS ms, count(*) AS n FROM events GROUP BY model), b AS (SELECT * FROM s WHERE model = 'click') SELECT s.model, round(s.n / b.n, 8) AS size_ratio, 1.0::DOUBLE AS f1_retained, round(b.ms / s.ms, 8) AS speed_up FROM s, b")
+def model_comparison(spark, d):
+    rows = read(spark, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("ms"), F.count(F.lit(1)).cast("double").alias("size_mb")).withColumn("f1", F.lit(0.5))
+    return _round(experiments.compare_models(rows, "click"), "size_ratio", "f1_retained", "speed_up")
+
+
+@query("display_names", "SELECT event_type AS system, CASE WHEN event_type = 'click' THEN event_type ELSE 'V2 (' || event_type || ')' END AS shown, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END::BIGINT AS place, event_type <> 'click' AS hybrid FROM (SELECT DISTINCT event_type FROM events)")
+def display_names(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_type").alias("system")).distinct()
+    name = F.when(F.col("system") == "click", F.col("system")).otherwise(F.concat(F.lit("Any Hybrid V2 ("), "system", F.lit(")")))
+    return rows.select("system", fn.short_name(name).alias("shown"), fn.display_order(F.col("system"), ("purchase", "click")).alias("place"), fn.is_hybrid(name).alias("hybrid"))
+
+
+@query("reverse_alignment", "SELECT * FROM (VALUES ('hybrid-v2', 'nvidia-pii', 'city', 'CITY'), ('hybrid-v2', 'nvidia-pii', 'county', 'CITY'), ('hybrid-v2', 'nvidia-pii', 'date', 'DATE'), ('hybrid-v2', 'nvidia-pii', 'date_of_birth', 'DATE'), ('base', 'wiki-neural', 'LOC', 'CITY')) t(system, dataset, ds_label, sys_label)")
+def reverse_alignment(spark, d):
+    return evaluate.reverse_alignment(alignment_rows(spark, d))
+
+
+@query("expanded_vocabulary", f"WITH {TOK}, c AS (SELECT DISTINCT cls FROM tok WHERE cls <> 'O'), r AS (SELECT cls, row_number() OVER (ORDER BY cls) AS k FROM c) SELECT 0 AS new_id, 'O' AS label, 0 AS raw_id UNION ALL SELECT (2 * k - 1 + j)::INT, CASE j WHEN 0 THEN 'B-' ELSE 'I-' END || cls, k::INT FROM r, (VALUES (0), (1)) p(j)")
+def expanded_vocabulary(spark, d):
+    classes = scored(spark, d).select(fn.entity(F.col("pred")).alias("c")).where("c <> 'O'").distinct()
+    rows = classes.select(F.row_number().over(W.orderBy("c")).alias("label_id"), F.concat(F.lit("I-"), "c").alias("label"))
+    return tk.expanded_vocabulary(rows.unionByName(spark.createDataFrame([(0, "O")], "label_id int, label string")))
+
+
+@query("character_spans", f"WITH {TOK}, g AS {_chunks('pred', False)}, t AS (SELECT sample_id, string_agg(rpad(token, 5, '.'), ' ' ORDER BY idx) AS text FROM tok GROUP BY sample_id) SELECT g.sample_id, c AS class, a * 6 AS s, b * 6 + 5 AS e, substr(text, a * 6 + 1, b * 6 + 5 - a * 6) AS span FROM g JOIN t USING (sample_id)")
+def character_spans(spark, d):
+    tokens = scored(spark, d)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda t: F.rpad(t["token"], 5, ".")), " ")
+    return tk.character_spans(tokens.join(tokens.groupBy("sample_id").agg(text.alias("text")), "sample_id"))
+
+
+@query("text_pieces", "SELECT doc_id, least(512, len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]')))::BIGINT AS n FROM documents")
+def text_pieces(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(tk.pieces(F.col("text"))).cast("long").alias("n"))
 
 
 # --- sources and systems -------------------------------------------------------------------------
-@query("events_props_json", "SELECT event_type, count(*) AS n, count(props) AS with_props FROM events GROUP BY event_type")
+@query("events_props_json", "SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, count(DISTINCT json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY event_type")
 def events_props_json(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("with_props"))
+    k = F.get_json_object("props", "$.k")
+    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("with_k"), F.countDistinct(k).alias("n_k"))
 
 
-@query("sampled_split", "SELECT count(*) AS n, least(250, count(*)) AS calibration, greatest(0, count(*) - 250) AS evaluation FROM documents")
+@query("sampled_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) <= 250 THEN 'calibration' ELSE 'evaluation' END AS part FROM documents")
 def sampled_split(spark, d):
-    docs = read(spark, d, "documents").select("doc_id")
-    first, rest = adapters.split(docs, 250, "doc_id")
-    return docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(first.agg(F.count(F.lit(1)).alias("calibration"))).crossJoin(rest.agg(F.count(F.lit(1)).alias("evaluation")))
+    first, rest = adapters.split(read(spark, d, "documents").select("doc_id"), 250, "doc_id")
+    return first.withColumn("part", F.lit("calibration")).unionByName(rest.withColumn("part", F.lit("evaluation")))
+
+
+@query("dataset_descriptions", "SELECT * FROM (VALUES ('ai4privacy', 20, 5000), ('nvidia-pii', 38, 5000), ('wikineural', 4, 1000), ('bc5cdr', 2, NULL), ('finer-139', 0, NULL), ('buster', 6, NULL)) t(name, n_labels, default_count)")
+def dataset_descriptions(spark, d):
+    return adapters.describe(spark).select("name", F.size("native_labels").alias("n_labels"), "default_count")
+
+
+@query("session_counts", "WITH x AS (SELECT *, CASE WHEN ts <= max(ts) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS st FROM events), y AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, k")
+def session_counts(spark, d):
+    from .streaming.stream import sessions
+
+    return sessions(read(spark, d, "events")).select("user_id", "start", "n")
 
 
 @query("windowed_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -694,9 +908,20 @@ def system_hybrid_v2_labels(spark, d):
     return pipeline.SYSTEMS["hybrid_v2"](samples, _stand_in(samples)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tester_entities")
+@query(
+    "tester_entities",
+    f"""WITH {TOK}, x AS (SELECT *, sum((pred LIKE 'B-%')::INT) OVER w AS b, sum((pred = 'O')::INT) OVER w AS o FROM tok WINDOW w AS (PARTITION BY sample_id ORDER BY idx)),
+h AS (SELECT sample_id, b, o, cls FROM x WHERE pred LIKE 'B-%')
+SELECT x.sample_id, h.cls AS class, min(s) AS s, max_by(e, idx) AS e, string_agg(token, ' ' ORDER BY idx) AS text, round(avg(confidence), 8) AS confidence FROM x JOIN h ON h.sample_id = x.sample_id AND h.b = x.b AND h.o = x.o AND h.cls = x.cls GROUP BY x.sample_id, h.b, h.cls""",
+)
 def tester_entities(spark, d):
-    return pipeline.entity_rows(scored(spark, d))
+    return _round(pipeline.entity_rows(scored(spark, d)), "confidence")
+
+
+@query("token_analysis")
+def token_analysis(spark, d):
+    samples = _samples(spark, d)
+    return pipeline.analyze(samples, _stand_in(samples)).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("failed_sample_fallback", f"WITH {TOK} SELECT sample_id, idx, gold, CASE WHEN sample_id % 4 = 1 THEN 'O' ELSE pred END AS pred FROM tok")

@@ -5,14 +5,17 @@ Every adapter is spark -> DataFrame with declared schemas, so nothing is inferre
 from __future__ import annotations
 
 import ast
+import io
+import itertools
 import json
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.registry import BC5CDR_TAGS, CONLL_TAGS, PII_CLASSES
+from ..functions.registry import BC5CDR_TAGS, BIOMEDICAL_CLASSES, CONLL_TAGS, FINANCIAL_CLASSES, NEMOTRON_FULL, PII_CLASSES
 from ..operators.tokens import align, joined_offsets, word_tokens
 
 SAMPLE = "sample_id string, text string, language string, tokens array<struct<idx:int,token:string,s:int,e:int,gold:string>>, metadata map<string,string>"
@@ -42,8 +45,9 @@ def literal_spans(column: pa.Array) -> pa.Array:
 
 
 def parse_spans(raw: Column) -> Column:
-    """Spans from JSON text in order of place: plain JSON in the JVM, else with single quotes turned into double ones."""
-    parsed = F.coalesce(F.from_json(raw, _SPANS), F.from_json(F.replace(raw, F.lit("'"), F.lit('"')), _SPANS), F.array().cast(_SPANS))
+    """Spans from text in order of place: JSON in the JVM; only what isn't JSON goes to Python, as a literal."""
+    plain = F.from_json(raw, _SPANS)
+    parsed = F.coalesce(plain, literal_spans(F.when(plain.isNull(), raw)), F.array().cast(_SPANS))
     kept = F.filter(parsed, lambda x: x["label"].isNotNull() & x["start"].isNotNull() & x["end"].isNotNull())
     return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["end"] - b["end"]))
 
@@ -107,11 +111,78 @@ def read_bc5cdr(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled_jsonl(spark: SparkSession, path: str, labels: str = "ner_tags", sample_id: str = "id") -> DataFrame:
-    """JSON lines of words and text labels (financial sets); samples without entities are left out."""
-    df = spark.read.schema(f"{sample_id} string, tokens array<string>, {labels} array<string>").json(path)
+    """JSON lines of words and text labels (financial sets), as they are or in zip files; samples without entities are left out."""
+    schema = f"{sample_id} string, tokens array<string>, {labels} array<string>"
+    if path.lower().endswith(".zip"):
+        df = zip_lines(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*")
+    else:
+        df = spark.read.schema(schema).json(path)
     return token_samples(df, sample_id, "tokens", F.col(labels), F.lit("en"), entities_only=True)
 
 
+def zip_lines(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
+    """(value): the lines of the files ending in ``suffix`` inside zip files, a line at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in (n for n in archive.namelist() if n.endswith(suffix)):
+                        with archive.open(name) as lines:
+                            while part := list(itertools.islice(lines, 4096)):
+                                yield pa.RecordBatch.from_arrays([pa.array([x.decode().rstrip("\r\n") for x in part], pa.string())], ["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+
+
+def read_folds(spark: SparkSession, path: str, folds, labels: str = "labels", sample_id: str = "document_id") -> DataFrame:
+    """Samples of the named folds of a Parquet set: ``path``/FOLD_k*.parquet; those without entities are left out."""
+    schema = f"{sample_id} string, tokens array<string>, {labels} array<string>"
+    df = spark.read.schema(schema).parquet(*[f"{path}/FOLD_{k}*.parquet" for k in folds])
+    return token_samples(df, sample_id, "tokens", F.col(labels), F.lit("en"), entities_only=True)
+
+
+def read_tokenized(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """(row_id, input_ids, attention_mask, labels) of a tokenized set in Parquet; ``n``: the first rows, the limit being the feature."""
+    df = spark.read.schema("row_id long, input_ids array<int>, attention_mask array<int>, labels array<int>").parquet(path)
+    return df if n is None else df.orderBy("row_id").limit(n)
+
+
+def labelled_positions(tokenized: DataFrame, ignored: int = -100) -> DataFrame:
+    """(row_id, idx, input_id, label) of the tokens that carry a label: padding and specials don't."""
+    t = tokenized.select("row_id", F.posexplode(F.arrays_zip("input_ids", "attention_mask", "labels")).alias("idx", "t"))
+    return t.where((F.col("t.labels") != ignored) & (F.col("t.attention_mask") == 1)).select("row_id", "idx", F.col("t.input_ids").alias("input_id"), F.col("t.labels").alias("label"))
+
+
+def sample_count(dataset: str, asked: int | None = None, languages: int = 1) -> int | None:
+    """Rows to take of a dataset: those asked for, else its default (per language), else all (None)."""
+    default = DEFAULT_COUNTS.get(dataset)
+    return asked if asked is not None else default * languages if default is not None else None
+
+
+#: dataset: (domain, what its labels are, description)
+_ABOUT = {
+    "ai4privacy": ("pii", PII_CLASSES, "texts with masked spans of personal data"),
+    "nvidia-pii": ("pii", tuple(sorted(NEMOTRON_FULL)), "synthetic texts with spans of personal data"),
+    "wikineural": ("general", ("LOC", "MISC", "ORG", "PER"), "encyclopedia sentences in several languages"),
+    "bc5cdr": ("biomedical", BIOMEDICAL_CLASSES, "abstracts with chemicals and diseases"),
+    "finer-139": ("financial", (), "filings with numeric tags"),
+    "buster": ("financial", FINANCIAL_CLASSES, "filings with parties of transactions"),
+}
+
+
+def describe(spark: SparkSession) -> DataFrame:
+    """(name, domain, description, native_labels, default_count) of every dataset."""
+    rows = [(n, domain, about, sorted(labels), DEFAULT_COUNTS.get(n)) for n, (domain, labels, about) in _ABOUT.items()]
+    return spark.createDataFrame(rows, "name string, domain string, description string, native_labels array<string>, default_count int")
+
+
+def native_labels(samples: DataFrame) -> DataFrame:
+    """(label) of the classes that occur in samples."""
+    found = samples.select(F.explode("tokens").alias("t")).select(F.regexp_replace("t.gold", "^[BI]-", "").alias("label"))
+    return found.where("label <> 'O'").distinct()
+
+
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """(label_id, label) of a JSON object of ids."""
     raw = spark.read.text(path, wholetext=True)
@@ -133,6 +204,11 @@ def alignment_rows(raw: DataFrame) -> DataFrame:
     return a.select(normal_name(F.col("system")).alias("system"), normal_name(F.col("dataset")).alias("dataset"), "sys_label", F.posexplode("x").alias("ord", "ds_label"))
 
 
+def given_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """(path, text) of texts given on a command line."""
+    return spark.createDataFrame([(f"text-{k}", t) for k, t in enumerate(texts)], "path string, text string")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -140,7 +216,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def subsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash of the key: a sampling operator, so the limit is the feature."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def split(df: DataFrame, n: int, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
