@@ -76,6 +76,10 @@ def text_features(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(rows[:, k].tolist(), pa.int64()) for k in range(len(_FIELDS))], list(_FIELDS))
 
 
+#: Declared as not deterministic, so that a filter on its result doesn't compute it a second time.
+text_features = text_features.asNondeterministic()
+
+
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts as columns, and base_failed."""
     out = docs.withColumn("_f", text_features(F.col("text")))
