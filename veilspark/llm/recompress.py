@@ -40,7 +40,7 @@ def parse(names: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(first word, length, name) of the symbols of all texts; symbols never cross texts."""
     start, length, names = np.arange(len(names)), np.ones(len(names), np.int8), names.copy()
     for k, most in enumerate(ROUNDS):
-        left = (mix(names + _U(0x632BE59BD9B4E019) * _U(k + 1)) & _U(1)).astype(bool)
+        left = (mix(names + _U(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))) & _U(1)).astype(bool)
         short = length <= most
         at = np.nonzero(left[:-1] & ~left[1:] & short[:-1] & short[1:] & (text_of[start[:-1]] == text_of[start[1:]]))[0]
         names[at] = mix(names[at] * _U(0x9FB21C651E98DF25) + mix(names[at + 1] ^ _U(0x8EBC6AF09C88C6E3)))
@@ -215,6 +215,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     windows = groups.look_with(shared, _send_windows(n), ddl(_WINDOWS))
     later = windows.groupBy("b").applyInArrow(_later_windows, ddl(_LATER))
     per_text = materialize(groups.look_with(later, _remove(with_text), ddl(_RESULT)), "substrings-texts")
+    groups.close()
     out = groups.rows.withColumnRenamed("first_id", "own_id").join(per_text, "key")
     # a later copy of a whole text: all its windows are in the first copy
     copy = (F.col("own_id") != F.col("first_id")) & (F.col("n_words") >= WINDOW)

@@ -11,7 +11,7 @@ by their bytes instead. For every offset of a window around the anchor, neighbou
 classes on either side, and windows with both classes in common are equal; classes only change at the extensions that
 occur, so an anchor group costs its size times those.
 
-Keys with more than HOT contexts don't meet in one task: their windows are exchanged one by one, by 128-bit hashes
+Keys with more than HOT distinct contexts don't meet in one task: their windows are exchanged one by one, by 128-bit hashes
 that each group sends once.
 
 Defined results: null text has no bytes; every row counts as a text of its own, so repeated rows are repeats of each other.
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import drop_table, materialize, read
 from .textgroups import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, Groups, Prefix, bucket_of, cut, mix, parts
 
 MATCH, K = 400, 100
 REACH = MATCH - K
 #: Contexts of a key that are sorted in one task.
-HOT = 20_000
+HOT = 2_000
 #: Rows sorted at once, but for the contexts of one key.
 ROWS = 4096
 #: Bytes whose hashes are held at once, at most 2^24 - MATCH.
@@ -116,13 +116,13 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-_PAIRS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("contexts", pa.binary()), ("state", pa.binary())])
+_ANCHORS = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("context", pa.int64()), ("n", pa.int64())])
 #: States of a (key, context): it is repeated as a whole; it is to be sent for sorting; its windows are to be sent.
 FULL, SEND, SEND_WINDOWS = 1, 2, 4
 
 
-def _send_keys(n: int, block: int):
-    """Distinct (key, context) of a group; state FULL if the group itself has the context twice."""
+def _send_keys(block: int):
+    """Distinct (key, context) of a group as rows, and how often the group has them."""
 
     def run(g, keys, ids, data):
         a = Anchors(data, block)
@@ -130,13 +130,29 @@ def _send_keys(n: int, block: int):
         key, context = a.key[order], a.context[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])] if len(key) else np.zeros(0, bool)
         at = np.nonzero(new)[0]
-        state = np.where(np.diff(np.r_[at, len(key)]) > 1, FULL, 0).astype(np.uint8)
-        key, context = key[at], context[at]
-        return _table(_PAIRS, [(b, g, key[s].tobytes(), context[s].tobytes(), state[s].tobytes()) for b, s in cut(bucket_of(key, n), n)])
+        n = np.diff(np.r_[at, len(key)])
+        return pa.table([pa.array(np.full(len(at), g if g is not None else 0)), pa.array(key[at].view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(n)], _ANCHORS)
 
     return run
 
 
+def states(anchors: DataFrame, most: int) -> DataFrame:
+    """(g, key, context, state) of what each group has to do with its ``anchors`` (g, key, context, n): nothing comes back for keys that
+    occur once. Contexts are counted first, then the contexts of a key, both with partial sums on the map side; so a key that
+    many texts have is spread over all tasks but for one row a task, and the join back has one row a key on its other side."""
+    per = materialize(anchors.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min("g").alias("least")), "suffixes-contexts")
+    of_key = per.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum((F.col("n") < 2).cast("long")).alias("open"))
+    mixed = (F.col("contexts") > 1) & (F.col("open") > 0)
+    of_key = of_key.where(mixed).select("key", (F.col("contexts") > most).alias("hot"))
+    per = per.join(of_key, "key", "left").where("n > 1 or hot is not null")
+    full, hot = F.col("n") > 1, F.coalesce(F.col("hot"), F.lit(False))
+    # one group sends a context for sorting: the first that has it
+    per = per.select("key", "context", "least", (full.cast("int") * FULL + hot.cast("int") * SEND_WINDOWS).alias("base"), (F.col("hot").isNotNull() & ~hot).alias("sorted"))
+    out = anchors.select("g", "key", "context").join(per, ["key", "context"])
+    state = F.col("base") + (F.col("sorted") & (F.col("g") == F.col("least"))).cast("int") * SEND
+    return out.select("g", "key", "context", state.cast("long").alias("state")).where("state > 0")
+
+
 def _unpack(table: pa.Table, names=("keys", "contexts"), last="state"):
     columns = [[np.frombuffer(x, np.uint64) for x in table[c].to_pylist()] for c in names]
     g = np.repeat(np.array(table["g"].to_pylist(), np.int64), [len(x) for x in columns[0]])
@@ -144,12 +160,6 @@ def _unpack(table: pa.Table, names=("keys", "contexts"), last="state"):
     return g, *(np.concatenate(x) for x in columns), state
 
 
-def _by_group(b: int, g, key, context, state) -> pa.Table:
-    order = np.argsort(g, kind="stable")
-    g, key, context, state = g[order], key[order], context[order], state[order]
-    return _table(_PAIRS, [(b, k, key[s].tobytes(), context[s].tobytes(), state[s].astype(np.uint8).tobytes()) for k, s in parts(g)])
-
-
 def _runs(*columns) -> np.ndarray:
     """Number of the run of equal rows that each row of sorted columns is in."""
     change = np.zeros(len(columns[0]), bool)
@@ -158,25 +168,9 @@ def _runs(*columns) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _state_of(most: int):
-    """What each group has to do with its (key, context): nothing comes back for keys that occur once."""
-
-    def run(table: pa.Table) -> pa.Table:
-        g, key, context, state = _unpack(table)
-        order = np.lexsort((g, context, key))
-        g, key, context, state = g[order], key[order], context[order], state[order]
-        of_key, of_context = _runs(key), _runs(key, context)
-        full = np.bincount(of_context, 1 + (state > 0)) > 1
-        first = np.r_[True, of_context[1:] != of_context[:-1]]
-        n_contexts = np.bincount(of_key[first])
-        n_open = np.bincount(of_key[first], ~full[of_context[first]], minlength=len(n_contexts))
-        mixed = (n_contexts > 1) & (n_open > 0)
-        hot = mixed & (n_contexts > most)
-        state = full[of_context] * FULL + (mixed & ~hot)[of_key] * first * SEND + hot[of_key] * SEND_WINDOWS
-        said = state > 0
-        return _by_group(table["b"][0].as_py(), g[said], key[said], context[said], state[said])
-
-    return run
+def _said(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, contexts, states) of rows of states()."""
+    return *(rows[c].to_numpy().view(np.uint64) for c in ("key", "context")), rows["state"].to_numpy()
 
 
 def _find(key, context, keys, contexts, states) -> np.ndarray:
@@ -199,7 +193,7 @@ def _send_contexts(n: int, block: int):
         if not data or not len(said):
             return _table(_CONTEXTS, [])
         a = Anchors(data, block)
-        _, k, c, s = _unpack(said)
+        k, c, s = _said(said)
         a._take(np.nonzero(_find(a.key, a.context, k, c, s) & SEND)[0])
         order = np.lexsort((a.context, a.key))
         a._take(order)
@@ -372,7 +366,7 @@ def _send_windows(n: int, block: int):
         if not data or not len(said):
             return _table(_WINDOWS, [])
         a = Anchors(data, block)
-        _, k, c, s = _unpack(said)
+        k, c, s = _said(said)
         hot = np.nonzero(_find(a.key, a.context, k, c, s) & SEND_WINDOWS)[0]
         parts = [(np.full(len(offsets), a.text[k]), a.at[k] - offsets, h1, h2) for k, offsets, h1, h2 in _hot_windows(a, hot, data)]
         if not parts:
@@ -416,11 +410,11 @@ def _remove(with_bytes: bool, block: int):
         if len(said):
             a = Anchors(data, block)
             kinds = np.array(said["kind"].to_pylist())
-            full = said.filter(pa.array(kinds == 0))
+            full = said.filter(pa.array(kinds == 0))  # rows of states()
             before, after = np.zeros(len(a.key), np.int64), np.zeros(len(a.key), np.int64)
             hot = np.zeros(0, np.int64)
             if len(full):
-                _, k, c, s = _unpack(full, last="cover")
+                k, c, s = _said(full)
                 state = _find(a.key, a.context, k, c, s)
                 whole = (state & FULL) > 0
                 before[whole], after[whole] = a.left[whole], a.right[whole]
@@ -466,15 +460,19 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs`` (doc_id, text); ``with_bytes``: kept, too."""
     groups = Groups(docs, "suffixes")
     n = groups.buckets
-    pairs = groups.look(_send_keys(n, BLOCK), _ddl(_PAIRS))
-    states = materialize(pairs.groupBy("b").applyInArrow(_state_of(HOT), _ddl(_PAIRS)), "suffixes-states")
-    contexts = groups.look_with(states, _send_contexts(n, BLOCK), _ddl(_CONTEXTS))
-    sorted_ = contexts.groupBy("b").applyInArrow(_sort_contexts, _ddl(_COVER))
-    said = states.select("g", F.lit(0).cast("long").alias("kind"), "keys", "contexts", F.col("state").alias("cover")).unionByName(sorted_)
-    if hot_keys(states):
-        windows = groups.look_with(states, _send_windows(n, BLOCK), _ddl(_WINDOWS))
-        said = said.unionByName(windows.groupBy("b").applyInArrow(_repeated_windows, _ddl(_COVER)))
+    anchors = materialize(groups.look(_send_keys(BLOCK), _ddl(_ANCHORS)), "suffixes-anchors")
+    stated = materialize(states(anchors, HOT), "suffixes-states")
+    contexts = groups.look_with(stated, _send_contexts(n, BLOCK), _ddl(_CONTEXTS))
+    covers_ = contexts.groupBy("b").applyInArrow(_sort_contexts, _ddl(_COVER))
+    if hot_keys(stated):
+        windows = groups.look_with(stated, _send_windows(n, BLOCK), _ddl(_WINDOWS))
+        covers_ = covers_.unionByName(windows.groupBy("b").applyInArrow(_repeated_windows, _ddl(_COVER)))
+    none = F.lit(None)
+    said = stated.select("g", F.lit(0).cast("long").alias("kind"), "key", "context", "state", *[none.cast("binary").alias(c) for c in ("keys", "contexts", "cover")])
+    said = said.unionByName(covers_.select("*", *[none.cast("long").alias(c) for c in ("key", "context", "state")]))
     per_text = materialize(groups.look_with(said, _remove(with_bytes, BLOCK), _ddl(_RESULT)), "suffixes-texts")
+    groups.close()
+    drop_table(anchors)
     copies = groups.rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     per_text = per_text.join(copies, "key", "left")
     gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= MATCH)
@@ -487,9 +485,9 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     return groups.rows.select("doc_id", "key").join(per_text, "key").select(*columns)
 
 
-def hot_keys(states: DataFrame) -> bool:
-    """Whether any key's windows are to be sent: a byte of state 4 or more."""
-    return states.where(F.hex("state").rlike("^(..)*0[4567]")).limit(1).count() > 0
+def hot_keys(stated: DataFrame) -> bool:
+    """Whether any key's windows are to be sent."""
+    return stated.where(F.col("state") >= SEND_WINDOWS).limit(1).count() > 0
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

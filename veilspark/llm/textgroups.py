@@ -2,7 +2,7 @@
 
 The repeat operators look at all texts several times and exchange only hashes between looks. ``build`` writes the
 distinct texts once, bucketed by a group number, so that no later look shuffles texts: a look is applyInArrow on the groups,
-or a cogroup with what other groups have said. A group's size is the input's divided by twice spark.sql.shuffle.partitions.
+or a cogroup with what other groups have said. Groups hold about GROUP_BYTES of text, whatever the input's size.
 Exact copies are one text from the start; copies are told apart again at the end by (doc_id, key).
 """
 
@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, materialize, shared_dir
+from .common import delete, delete_at_exit, materialize, shared_dir
 
+#: Bytes of text of a group, and Spark's own limit of buckets; a task works through its groups one after the other.
+GROUP_BYTES, MOST_BUCKETS = 1 << 24, 100_000
 #: doc_id of rows without one: after all others.
 NO_ID = (1 << 63) - 1
 _U = np.uint64
@@ -150,20 +152,29 @@ class Groups:
 
     def __init__(self, docs: DataFrame, label: str):
         spark = docs.sparkSession
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.groups = 2 * self.buckets
         text = F.coalesce(F.col("text"), F.lit(""))
         key = F.unhex(F.md5(text.cast("binary")))
         rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("first_id"), key.alias("key"), text.cast("binary").alias("text"))
+        self.rows = materialize(rows.select("doc_id", "first_id", "key", F.octet_length("text").alias("n")), f"{label}-rows")
+        size = self.rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.groups = max(2 * least, -(-size // GROUP_BYTES))
+        self.buckets = min(MOST_BUCKETS, max(least, -(-self.groups // 2)))
         rows = rows.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(self.groups)))
-        self.rows = materialize(rows.select("doc_id", "first_id", "key"), f"{label}-rows")
         dealt = rows.select("g", "key", "first_id", "text").mapInArrow(_map_side, _TEXTS).repartition(self.buckets, "g")
         texts = dealt.sortWithinPartitions("g", "key", F.col("text").isNull()).mapInArrow(_first_of_key, _TEXTS)
         name = f"veil_{label}_{uuid.uuid4().hex}".replace("-", "_")
         path = f"{shared_dir(spark)}/veilspark/{name}"
         texts.write.bucketBy(self.buckets, "g").option("path", path).option("compression", "zstd").saveAsTable(name)
         delete_at_exit(spark, path)
-        self.texts = spark.table(name)
+        self.texts, self._table = spark.table(name), (name, path)
+
+    def close(self) -> None:
+        """Drop the texts: nothing looks at them any more. The rows stay, results read them."""
+        name, path = self._table
+        spark = self.texts.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
     def look(self, function, schema: str) -> DataFrame:
         """function(group number, keys, first_ids, texts in order of (first_id, key)) -> Arrow table, for every group."""
