@@ -20,7 +20,7 @@ def sample(n=120, seed=5):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(brown, "N_CLUSTERED", 12)
+    monkeypatch.setattr(brown, "CORE", 12)
     monkeypatch.setattr(brown, "HEAD", 20)
     monkeypatch.setattr(brown, "N_CLASSES", 3)
     rows = sample()
@@ -36,38 +36,69 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
 
     # the class model by dictionaries
-    top = sorted(counts, key=lambda w: (-counts[w], w))[:12]
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    top, head = ranked[:12], ranked[:20]
     symbols = brown.Symbols(top)
     pairs = np.zeros((symbols.size, symbols.size))
-    for r in rows:
-        if not held[r]:
-            seq = [symbols.end, *symbols.of((r[1] or "").encode().lower().split()), symbols.end]
-            for a, b in zip(seq, seq[1:]):
-                pairs[a, b] += 1
-    label = brown.exchange(pairs, len(top), 3)
-    grid = Counter()
-    for a in range(symbols.size):
-        for b in range(symbols.size):
-            grid[label[a], label[b]] += pairs[a, b]
-    classes = sorted(set(label))
+    texts = [[None, *(r[1] or "").encode().lower().split(), None] for r in rows if not held[r]]
+    for words in texts:
+        seq = [symbols.end, *symbols.of(words[1:-1]), symbols.end]
+        for a, b in zip(seq, seq[1:]):
+            pairs[a, b] += 1
+    first = brown.exchange(pairs, len(top), 3)
+    place = {w: first[k] for k, w in enumerate(top)}
+    shapes = [int(first[symbols.end + 1 + j]) for j in range(len(brown.SHAPES))]
+
+    def class_of(w):
+        return int(first[symbols.end]) if w is None else place[w] if w in place else shapes[brown.shape(w)]
+
+    def bigrams():
+        grid = Counter()
+        for words in texts:
+            grid.update((class_of(a), class_of(b)) for a, b in zip(words, words[1:]))
+        return grid
+
+    def likelihood():
+        grid = bigrams()
+        left, right = Counter(), Counter()
+        for (a, b), c in grid.items():
+            left[a] += c
+            right[b] += c
+        return sum(c * math.log(c) for c in grid.values()) - sum(c * math.log(c) for c in [*left.values(), *right.values()])
+
+    # all words beyond the core move at once: each by the likelihood if it alone moved
+    for _ in range(brown.SPREAD):
+        new = {}
+        for w in head[12:]:
+            own = class_of(w)
+            tried = {}
+            for c in [*range(3), own]:
+                before = dict(place)
+                place[w] = c
+                tried[c] = likelihood()
+                place.clear()
+                place.update(before)
+            best = max(range(3), key=lambda c: (round(tried[c], 7), -c))
+            new[w] = best if tried[best] > tried[own] + 1e-6 else own
+        place.update(new)
+    grid = bigrams()
+    classes = sorted({class_of(None), *map(class_of, counts), *shapes, *map(int, first)})
     after = {c: sum(grid[a, c] for a in classes) for c in classes}
     before = {c: sum(grid[c, b] for b in classes) for c in classes}
-    uni = {c: (after[c] + 1) / (sum(after.values()) + len(classes)) for c in classes}
-    opened = {k: [0, 0] for k in range(len(brown.SHAPES))}
-    for w, c in counts.items():
-        if w not in top:
-            opened[brown.shape(w)][0] += c
-            opened[brown.shape(w)][1] += 1
+    used = {class_of(w) for w in head} | set(shapes) | {class_of(None)}
+    uni = {c: (after[c] + 1) / (sum(after.values()) + len(used)) if c in used else 0 for c in classes}
+    tail_types = Counter(brown.shape(w) for w in counts if w not in head)
 
     def score(words):
-        total, last = 0.0, label[symbols.end]
-        for w, s in zip([*words, None], [*symbols.of(words), symbols.end], strict=True):
-            c = label[s]
+        total, last = 0.0, class_of(None)
+        for w in [*words, None]:
+            c = class_of(w)
             total += math.log10(0.9 * (grid[last, c] / before[last] if before[last] else uni[c]) + 0.1 * uni[c])
-            if w in top:
-                total += math.log10(counts[w] / after[c])
+            room = after[c] + sum(tail_types[j] + 1 for j in range(len(shapes)) if shapes[j] == c)
+            if w in head:
+                total += math.log10(counts[w] / room)
             elif w is not None:
-                total += math.log10((counts[w] + 1) / (sum(opened[brown.shape(w)]) + 1))
+                total += math.log10((counts[w] + 1) / room)
             last = c
         return total
 
