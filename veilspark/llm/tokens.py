@@ -35,7 +35,7 @@ SHARD_IDS = 1 << 19
 MIN_PAIR, SLOTS = 64, 1 << 18
 STRIDE = 1024
 #: Words a task keeps.
-CACHE = 200_000
+CACHE = 300_000
 MAGIC = b"RPR1"
 #: Pieces of a lower-case ASCII word, as the tokenizer's own pattern cuts it.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
