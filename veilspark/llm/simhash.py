@@ -126,11 +126,12 @@ def links(prints: DataFrame) -> DataFrame:
     size = index.groupBy("half", "value").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(size.where(F.col("n") > HOT), "simhash-hot")
     n_hot = hot.count()
+    # by a shuffle whatever Spark thinks of the sizes: it takes the probes for as many rows as there are fingerprints
     near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("i.fp"))) <= MAX_BITS
     same = (F.col("p.half") == F.col("i.half")) & (F.col("p.value") == F.col("i.value")) & (F.col("p.fp") < F.col("i.fp")) & near
     if n_hot:
         cold = index.join(hot, ["half", "value"], "left_anti")
-        found = probes.alias("p").join(cold.alias("i"), same).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"))
+        found = probes.alias("p").join(cold.alias("i").hint("shuffle_hash"), same).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"))
         # whoever asks a hot value is compared with its members, tile by tile
         asking = probes.join(hot.select("half", "value"), ["half", "value"], "left_semi")
         tiles = F.greatest(F.lit(1), F.ceil(F.col("asked") / F.lit(TILE))).cast("int")
@@ -143,7 +144,7 @@ def links(prints: DataFrame) -> DataFrame:
         hot_links = pairs.groupBy("half", "value", "t1", "t2").applyInPandas(_tile_links, "a long, b long")
         found = found.unionByName(hot_links)
     else:
-        found = probes.alias("p").join(index.alias("i"), same).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"))
+        found = probes.alias("p").join(index.alias("i").hint("shuffle_hash"), same).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"))
     return found.where("a <> b").distinct()
 
 
