@@ -79,3 +79,12 @@ def test_no_frequent_pair_is_left(seed):
     same = (pairs >> np.uint64(32)) == (pairs & np.uint64(0xFFFFFFFF))
     assert not len(counts) or counts[~same].max(initial=0) < tokens.MIN_PAIR
     assert tokens.Shard(tokens.pack(ids)).ids().tolist() == ids.tolist()
+
+
+def test_long_texts_in_blocks_and_a_small_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 50)
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    encoder, rng = tokens.WordEncoder(tokens.default_tokenizer()), random.Random(2)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdeé.,1", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 60)))
+        assert np.frombuffer(encoder.encode(text.encode()), encoder.kind).tolist() == reference(text)

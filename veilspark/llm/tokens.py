@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read, small_side, texts
+from .common import materialize, read, small_side
 
 END_ID = 2
 SHARD_IDS = 1 << 19
 #: Occurrences from which on a pair is replaced; slots in which pairs are counted.
 MIN_PAIR, SLOTS = 64, 1 << 18
 STRIDE = 1024
+#: Bytes of a text that are cut into words at once.
+BLOCK = 1 << 20
 #: Words a task keeps.
-CACHE = 300_000
+CACHE = 250_000
 MAGIC = b"RPR1"
 #: Pieces of a lower-case ASCII word, as the tokenizer's own pattern cuts it.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -130,13 +132,18 @@ class WordEncoder:
             return self._encode(data.decode())
         # ASCII letters may be lowered first but before combining marks (U+0300 to U+037F), which NFC joins to some small letters
         # only, and in special tokens
-        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
-            data = data.lower()
-        out, words = [], data.split()
-        for at in range(0, len(words), 1 << 16):
+        plain = b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data
+        out, at = [], 0
+        while at < len(data):  # a block of a long text at a time
+            end = at + BLOCK
+            while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+                end += 1
             if len(self.known) > CACHE:  # the words of the last CACHE first meetings stay within reach
-                self.known = _Known(self._word, dict(self.known))
-            out.append(b"".join(map(self.known.__getitem__, words[at : at + (1 << 16)])))
+                self.known.older = {}
+                self.known = _Known(self._word, self.known)
+            block = data[at:end]
+            out.append(b"".join(map(self.known.__getitem__, (block.lower() if plain else block).split())))
+            at = end
         return b"".join(out)
 
 
@@ -264,6 +271,11 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _bytes(x: pa.Scalar) -> bytes:
+    """One text in UTF-8, null as empty: texts of a batch are taken out one at a time."""
+    return x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
 def _encoder_udf(path: str):
 
     @F.arrow_udf(T.BinaryType())
@@ -272,7 +284,7 @@ def _encoder_udf(path: str):
         end = np.array([END_ID], encoder.kind).tobytes()
         # the first byte tells the bytes of an id
         width = encoder.kind[-1].encode().translate(bytes.maketrans(b"24", b"\2\4"))
-        return pa.array([b"".join((width, encoder.encode(x), end)) for x in texts(column)], pa.binary())
+        return pa.array([b"".join((width, encoder.encode(_bytes(x)), end)) for x in column], pa.binary())
 
     return encode
 
