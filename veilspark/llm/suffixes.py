@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, read
+from .common import drop_table, materialize, read, small_side
 from .textgroups import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, Groups, Prefix, bucket_of, cut, mix, parts
 
 MATCH, K = 400, 100
@@ -143,8 +143,9 @@ def states(anchors: DataFrame, most: int) -> DataFrame:
     per = materialize(anchors.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min("g").alias("least")), "suffixes-contexts")
     of_key = per.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum((F.col("n") < 2).cast("long")).alias("open"))
     mixed = (F.col("contexts") > 1) & (F.col("open") > 0)
-    of_key = of_key.where(mixed).select("key", (F.col("contexts") > most).alias("hot"))
-    per = per.join(of_key, "key", "left").where("n > 1 or hot is not null")
+    # written first: an aggregation and the join in one stage would keep AQE from splitting a key's rows
+    of_key = materialize(of_key.where(mixed).select("key", (F.col("contexts") > most).alias("hot")), "suffixes-keys")
+    per = per.join(small_side(of_key, of_key.count()), "key", "left").where("n > 1 or hot is not null")
     full, hot = F.col("n") > 1, F.coalesce(F.col("hot"), F.lit(False))
     # one group sends a context for sorting: the first that has it
     per = per.select("key", "context", "least", (full.cast("int") * FULL + hot.cast("int") * SEND_WINDOWS).alias("base"), (F.col("hot").isNotNull() & ~hot).alias("sorted"))
