@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: Rows up to which a lookup table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -34,10 +36,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows while a table is written: both sides of a Python worker hold whole batches, and texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that survive a lost executor."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     delete_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._veil_path = path

@@ -37,7 +37,7 @@ STRIDE = 1024
 #: Bytes of a text that are cut into words at once.
 BLOCK = 1 << 20
 #: Words a task keeps.
-CACHE = 250_000
+CACHE = 200_000
 MAGIC = b"RPR1"
 #: Pieces of a lower-case ASCII word, as the tokenizer's own pattern cuts it.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
