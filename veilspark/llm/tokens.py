@@ -4,7 +4,7 @@ Texts are encoded by a tokenizer file of the ``tokenizers`` library. Words repea
 it has met (words never join across white space in such a tokenizer; ``WordEncoder`` checks that it has this form and
 falls back to whole texts otherwise). Ids travel in doc_id order to range partitions; each task packs its documents into
 shards of about SHARD_IDS ids. In a shard, frequent pairs of ids are replaced by nonterminals round by round, a round taking
-the pairs that occur at least an eighth as often as the most frequent one, until no pair occurs MIN_PAIR times. A shard holds the
+the pairs that occur at least a sixteenth as often as the most frequent one, until no pair occurs MIN_PAIR times. A shard holds the
 rules, the expansion length of every nonterminal, the sequence, and a running length every STRIDE symbols, so that any id range
 is decoded without the rest.
 
@@ -14,6 +14,7 @@ themselves; null doc_ids come first. An empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -37,7 +38,7 @@ STRIDE = 1024
 #: Bytes of a text that are cut into words at once.
 BLOCK = 1 << 20
 #: Words a task keeps.
-CACHE = 200_000
+CACHE = 250_000
 MAGIC = b"RPR1"
 #: Pieces of a lower-case ASCII word, as the tokenizer's own pattern cuts it.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -151,7 +152,7 @@ def repair(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule k replaces the pair rules[k] by the symbol terminals + k; in the end no pair occurs MIN_PAIR times.
 
     A round throws the pairs into hash slots, counts one pair of each slot exactly, without sorting, and replaces those that
-    occur at least an eighth as often as the most frequent one; pairs that share a slot with another have their turn under a later
+    occur at least a sixteenth as often as the most frequent one; pairs that share a slot with another have their turn under a later
     hash. Pairs are replaced left to right, never overlapping: of a run of positions that could all be replaced, every second one is."""
     seq, rules, n_rules, turn = seq.astype(np.uint32), [], 0, 0
     held, symbol = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
@@ -173,7 +174,7 @@ def repair(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
             if np.unique(pairs, return_counts=True)[1].max() < MIN_PAIR:
                 break
             continue
-        chosen = np.nonzero(counts >= max(MIN_PAIR, most // 8))[0]
+        chosen = np.nonzero(counts >= max(MIN_PAIR, most // 16))[0]
         symbol[chosen] = np.arange(len(chosen), dtype=np.int32)
         at = symbol[slot]
         symbol[chosen] = -1
@@ -284,7 +285,14 @@ def _encoder_udf(path: str):
         end = np.array([END_ID], encoder.kind).tobytes()
         # the first byte tells the bytes of an id
         width = encoder.kind[-1].encode().translate(bytes.maketrans(b"24", b"\2\4"))
-        return pa.array([b"".join((width, encoder.encode(_bytes(x)), end)) for x in column], pa.binary())
+        # words make no cycles: the collector would only walk through those that are known
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return pa.array([b"".join((width, encoder.encode(_bytes(x)), end)) for x in column], pa.binary())
+        finally:
+            if collecting:
+                gc.enable()
 
     return encode
 
