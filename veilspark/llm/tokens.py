@@ -14,6 +14,7 @@ themselves; null doc_ids come first. An empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import codecs
 import gc
 import re
 import struct
@@ -40,20 +41,21 @@ BLOCK = 1 << 20
 #: Words a task keeps.
 CACHE = 250_000
 MAGIC = b"RPR1"
-#: Pieces of a lower-case ASCII word, as the tokenizer's own pattern cuts it.
-_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PRINTED = re.compile(rb"[!-~]+")
+#: Pieces of a lower-case word of Latin letters and printed ASCII, as the tokenizer's own pattern cuts it.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that NFC leaves alone and whose lower case is one letter, whoever computes it (A to Z, U+00C0 to U+024F but the signs and
-#: U+0130), in UTF-8, and a full stop or comma.
-_LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([.,]?)")
+#: U+0130), perhaps before a full stop or comma; and words of these and printed ASCII.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
+_PRINTED = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """Byte-level BPE writes each byte as a printable character: itself if printable in Latin-1, else the next from 256 on."""
+def _byte_alphabet() -> str:
+    """By byte, the character that byte-level BPE writes for it: itself if printable in Latin-1, else the next from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    written = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return "".join(written[b] for b in range(256))
 
 
 class _Known(dict):
@@ -100,15 +102,20 @@ class WordEncoder:
     def _ids(self, piece: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _piece(self, piece: bytes) -> bytes:
-        """The ids of letters, a digit or symbols that the pre-tokenizer leaves together, in lower-case ASCII."""
-        ids = self.known.get(piece)
+    def _letters(self, body: bytes) -> bytes:
+        """The ids of Latin letters in lower case, in UTF-8."""
+        return self._ids(codecs.charmap_decode(body, "strict", self.alphabet)[0])
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of letters, a digit or symbols that the pre-tokenizer leaves together, in lower case."""
+        data = piece.encode()
+        ids = self.known.get(data)
         if ids is None:
-            self.known[piece] = ids = self._ids(piece.decode())
+            self.known[data] = ids = self._letters(data)
         return ids
 
     def _word(self, word: bytes) -> bytes:
-        """Pieces of ASCII and runs of Latin letters, perhaps before a full stop or comma, go straight to the model, in lower case."""
+        """Pieces of Latin letters and printed ASCII go straight to the model, in lower case."""
         if word.isalpha():
             return self._ids(word.lower().decode())
         tail = self.tails.get(word[-1])
@@ -116,16 +123,15 @@ class WordEncoder:
             return (self.known.get(body) or self._ids(body.lower().decode())) + tail
         if b"<|" in word:
             return self._encode(word.decode())
-        if _PRINTED.fullmatch(word):
-            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
-        latin = _LATIN.fullmatch(word)
-        if not latin:
-            return self._encode(word.decode())
-        body = latin[1]
-        ids = self.known.get(body) if tail else None
-        if ids is None:
-            ids = self._ids(body.decode().lower().encode().decode("latin-1").translate(self.alphabet))
-        return ids + tail if tail else ids
+        text = word.decode()
+        latin = _LATIN.fullmatch(text)
+        if latin:
+            if not tail:
+                return self._letters(text.lower().encode())
+            return (self.known.get(word[:-1]) or self._letters(latin[1].lower().encode())) + tail
+        if _PRINTED.fullmatch(text):
+            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        return self._encode(text)
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a text in UTF-8, as little-endian unsigned integers of self.kind."""
