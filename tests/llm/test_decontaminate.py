@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from veilspark.llm import decontaminate as d
 
 
@@ -22,13 +24,27 @@ def brute(docs, items):
                 eq = [v[j] == w[j + shift] if 0 <= j + shift < len(w) else None for j in range(len(v))]
                 for s in range(len(v) - need + 1):
                     part = eq[s : s + need]
-                    exact = len(v) < d.SPAN
-                    if None not in part and sum(part) >= (need if exact else d.SHARE * need):
+                    if None not in part and sum(part) >= d.SHARE * need:
                         out.add((doc_id, item_id))
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_against_brute_force(spark, monkeypatch, shuffled):
+    if shuffled:  # no side of a join is broadcast, seeds neither
+        monkeypatch.setattr(d, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr("veilspark.llm.common.BROADCAST_ROWS", 0)
+        monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        compare_with_brute_force(spark)
+    finally:
+        if shuffled:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def compare_with_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([3, 5, 7, 9, 13, 14, 20, 35, 60] * 3)] + [(90, None), (91, "")]
