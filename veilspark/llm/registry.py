@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, brown, decontaminate, htmltext, mixing, quality, recompress, simhash, suffixes, tokens
+from . import archive, brown, decontaminate, htmltext, importance, mixing, quality, recompress, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_arc_to_warc": archive.archive_query,
     "op9_mix_sources": mixing.mix_query,
     "op10_suffix_sort_dedup": suffixes.suffix_query,
+    "op11_importance_resampling": importance.importance_query,
 }
 
 ORACLES = {

@@ -214,7 +214,7 @@ def cut(buckets: np.ndarray, n: int):
 
 def planes(values: np.ndarray) -> bytes:
     """Byte planes: the unused high bytes of small numbers end up together and compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
