@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, brown, decontaminate, htmltext, importance, mixing, quality, recompress, simhash, suffixes, tokens
+from . import archive, brown, decontaminate, htmltext, importance, langid, mixing, quality, recompress, runs, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.simhash_query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_mix_sources": mixing.mix_query,
     "op10_suffix_sort_dedup": suffixes.suffix_query,
     "op11_importance_resampling": importance.importance_query,
+    "op12_periodic_runs": runs.runs_query,
+    "op13_byte_cnn_language": langid.language_query,
 }
 
 ORACLES = {
