@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from .textgroups import mix, planes, unplanes
 
 BUCKETS, SEED, SHARE, MIN_WORDS = 10_000, 42, 0.05, 20
 #: Bytes of text of a block, and of text per dictionary partition.
-BLOCK_BYTES, PART_BYTES = 1 << 24, 1 << 23
+BLOCK_BYTES, PART_BYTES = 1 << 23, 1 << 22
 _U = np.uint64
 #: Lower case for A-Z; whatever is neither a letter a-z, a digit nor beyond ASCII ends a word.
 _NORMAL = bytes((k + 32 if 65 <= k <= 90 else k) if (48 <= k <= 57 or 65 <= k <= 90 or 97 <= k <= 122 or k >= 128) else 32 for k in range(256))
@@ -73,9 +74,14 @@ def _binary(buf: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf))])
 
 
+def _objects(strings: pa.Array) -> list[bytes]:
+    """The values of an array; to_pylist() makes a scalar of each."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def _ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct codes in order, place of each code among them, how often each occurs)."""
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     ordered = codes[order]
     new = np.ones(len(codes), bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -117,7 +123,7 @@ class Block:
 
     def dealt(self, n_parts: int) -> list[np.ndarray]:
         """The dictionary partition of each word, pair and triple: a triple is where its pair is."""
-        h = np.array([xxhash.xxh64_intdigest(x) for x in self.words.to_pylist()], np.uint64)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, _objects(self.words)), np.uint64, len(self.words))
         pair = (mix(h[self.first] * _U(3) + mix(h[self.second])) % _U(n_parts)).astype(np.int32)
         return [(mix(h) % _U(n_parts)).astype(np.int32), pair, pair[self.pair]]
 
@@ -131,19 +137,33 @@ class Block:
         return total
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _joined(strings: pa.Array) -> bytes:
     """Strings with a line feed after each."""
-    return b"".join(x + b"\n" for x in strings.to_pylist())
+    if not len(strings):
+        return _packed(b"")
+    return _packed(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), b"\n")[0].as_py() + b"\n")
 
 
 def _strings(data: bytes) -> pa.Array:
-    buf = np.frombuffer(data, np.uint8)
+    buf = np.frombuffer(_unpacked(data), np.uint8)
     ends = np.nonzero(buf == 10)[0]
     return _binary(buf[buf != 10], np.diff(np.r_[-1, ends]) - 1)
 
 
 def _small(values: np.ndarray) -> bytes:
-    return planes(np.ascontiguousarray(values, np.uint32))
+    return _packed(planes(np.ascontiguousarray(values, np.uint32)))
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return unplanes(_unpacked(data), np.uint32)
 
 
 #: words; distinct first words of pairs, pairs of each, second words; triples of each pair, third words; counts of the three kinds
@@ -154,7 +174,8 @@ _ASKED_DDL = "p int, block long, " + ", ".join(f"{x} binary" for x in _PARTS)
 
 def _cuts(dealt: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(places by partition in their own order, where each partition's begin)."""
-    order = np.argsort(dealt, kind="stable")
+    # few partitions fit two bytes, which are sorted by counting
+    order = np.argsort(dealt.astype(np.uint16) if n <= 1 << 16 else dealt, kind="stable")
     return order, np.searchsorted(dealt[order], np.arange(n + 1))
 
 
@@ -190,28 +211,29 @@ def _dictionary(n_buckets: int):
         counts = ([], [], [])
         for r in rows:
             words = _strings(r["words"])
-            firsts = _strings(r["firsts"]).take(pa.array(np.repeat(np.arange(len(r["per_first"]) // 4), unplanes(r["per_first"], np.uint32))))
+            per_first = _numbers(r["per_first"])
+            firsts = _strings(r["firsts"]).take(pa.array(np.repeat(np.arange(len(per_first)), per_first)))
             pairs = pc.binary_join_element_wise(firsts, _strings(r["seconds"]), b" ")
-            repeat = np.repeat(np.arange(len(pairs)), unplanes(r["per_pair"], np.uint32))
+            repeat = np.repeat(np.arange(len(pairs)), _numbers(r["per_pair"]))
             triples = pc.binary_join_element_wise(pairs.take(pa.array(repeat)), _strings(r["thirds"]), b" ")
             sizes.append([len(x) for x in (words, pairs, triples)])
             for kind, strings, held, c in zip(kinds, (words, pairs, triples), counts, ("c1", "c2", "c3"), strict=True):
                 kind.append(strings)
-                held.append(unplanes(r[c], np.uint32))
+                held.append(_numbers(r[c]))
         p, totals, told = rows[0]["p"], np.zeros(n_buckets, np.int64), []
         del rows
         for strings, count in zip(kinds, counts, strict=True):
             # strings of one, two and three words are never equal: a dictionary for each
             coded = pa.chunked_array(strings, pa.binary()).combine_chunks().dictionary_encode()
             strings.clear()
-            distinct = np.fromiter((zlib.crc32(x) % n_buckets for x in coded.dictionary.to_pylist()), np.uint16, len(coded.dictionary))
+            distinct = (np.fromiter(map(zlib.crc32, _objects(coded.dictionary)), np.uint32, len(coded.dictionary)) % n_buckets).astype(np.uint16)
             per_string = np.bincount(coded.indices.to_numpy(), np.concatenate(count), len(distinct)).astype(np.int64)
             totals += np.bincount(distinct, per_string, n_buckets).astype(np.int64)
             told.append(distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint16))
         at = [0, 0, 0]
         out = []
         for number, size in zip(table["block"].to_pylist(), sizes, strict=True):
-            out.append({"block": number, "p": p, "buckets": planes(np.concatenate([x[a : a + s] for x, a, s in zip(told, at, size, strict=True)])), "totals": None})
+            out.append({"block": number, "p": p, "buckets": _packed(planes(np.concatenate([x[a : a + s] for x, a, s in zip(told, at, size, strict=True)]))), "totals": None})
             at = [a + s for a, s in zip(at, size, strict=True)]
         return pa.Table.from_pylist([*out, {"block": -1, "p": p, "buckets": None, "totals": totals.tolist()}], _TOLD)
 
@@ -230,7 +252,7 @@ def _weigher(n_parts: int, gains: np.ndarray):
             cuts = [_cuts(x, n_parts) for x in b.dealt(n_parts)]
             found = [np.zeros(len(order), np.int64) for order, _ in cuts]
             for k, reply in replies.items():
-                buckets, a = unplanes(reply, np.uint16), 0
+                buckets, a = unplanes(_unpacked(reply), np.uint16), 0
                 for gain, (order, at) in zip(found, cuts, strict=True):
                     mine = order[at[k] : at[k + 1]]
                     gain[mine] = gains[buckets[a : a + len(mine)]]
