@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import entity, frequency_bucket, length_bucket
+from .quantiles import exact_quantiles
 from .tokens import bio_spans, sequence
 
 
@@ -96,10 +97,16 @@ def errors(tokens: DataFrame, kind: str, labels=None, limit: int = 500) -> DataF
     return rows.orderBy("sample_id", "idx").limit(limit).select("sample_id", "idx", "token", "context", "pred", "gold")
 
 
-def latency(df: DataFrame, value: str) -> DataFrame:
-    """mean, median, p95, p99 (exact, interpolated) and units per second of millisecond latencies."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.agg(F.avg(value).alias("mean_ms"), p.alias("p"), (F.count(value) / F.sum(value) * 1000).alias("per_second")).select("mean_ms", F.col("p")[0].alias("median_ms"), F.col("p")[1].alias("p95_ms"), F.col("p")[2].alias("p99_ms"), "per_second")
+def latency(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, mean_ms, median_ms, p95_ms, p99_ms, per_second) of millisecond latencies: exact quantiles, interpolated, and units per second."""
+    by = by or []
+    found = exact_quantiles(df, value, (0.5, 0.95, 0.99), by)
+    means = df.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)]).agg(F.avg(value).alias("mean_ms"), (F.count(value) / F.sum(value) * 1000).alias("per_second"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & found[c].eqNullSafe(F.col(f"_g{k}"))
+    out = found.join(means, same) if by else found.crossJoin(F.broadcast(means))
+    return out.select(*by, "mean_ms", *[F.get("quantiles", k).alias(n) for k, n in enumerate(("median_ms", "p95_ms", "p99_ms"))], "per_second")
 
 
 def accuracy(tokens: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import entity, uncertain
 from ..functions.registry import PII_CLASSES, PII_ROUTES, RouteConfig
+from .intervals import least_overlap, marked
 from .tokens import sequence
 
 
@@ -105,23 +106,21 @@ def ablate(tokens: DataFrame) -> DataFrame:
 
 
 def covered(spans: DataFrame, found: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Spans inside a validated match of their class: these need no arbiter (semi join)."""
-    m = found.where("valid").select(F.col(key).alias("_k"), F.col("class").alias("_c"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    return spans.join(m, (F.col(key) == F.col("_k")) & (F.col("class") == F.col("_c")) & (F.col("_s") <= F.col("s")) & (F.col("_e") >= F.col("e")), "left_semi")
+    """Spans inside a validated match of their class: these need no arbiter."""
+    return marked(spans, found.where("valid"), [key, "class"], "inside", "_hit").where("_hit").drop("_hit")
 
 
 def without_overlap(spans: DataFrame, others: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Spans that overlap none of ``others`` (anti join)."""
-    o = others.select(F.col(key).alias("_k"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    return spans.join(o, (F.col(key) == F.col("_k")) & (F.col("_s") < F.col("e")) & (F.col("_e") > F.col("s")), "left_anti")
+    """Spans that overlap none of ``others``."""
+    return marked(spans, others, [key], "overlap", "_hit").where("not _hit").drop("_hit")
 
 
 def unconfirmed(spans: DataFrame, found: DataFrame, classes, key: str = "sample_id") -> DataFrame:
-    """Spans of ``classes`` that neither lie in a validated match of their class nor contain one (anti join): these are demoted."""
-    m = found.where("valid").select(F.col(key).alias("_k"), F.col("class").alias("_c"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    inside = (F.col("_s") <= F.col("s")) & (F.col("_e") >= F.col("e"))
-    around = (F.col("_s") >= F.col("s")) & (F.col("_e") <= F.col("e"))
-    return spans.where(F.col("class").isin(*classes)).join(m, (F.col(key) == F.col("_k")) & (F.col("class") == F.col("_c")) & (inside | around), "left_anti")
+    """Spans of ``classes`` that neither lie in a validated match of their class nor contain one: these are demoted."""
+    out, valid = spans.where(F.col("class").isin(*classes)), found.where("valid")
+    for kind in ("inside", "around"):
+        out = marked(out, valid, [key, "class"], kind, "_hit").where("not _hit").drop("_hit")
+    return out
 
 
 def pending(tokens: DataFrame, spans: DataFrame, found: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -139,10 +138,11 @@ def hint_spans(tokens: DataFrame, found: DataFrame, taken: DataFrame, key: str =
     spans ``taken`` (key, first_idx, last_idx) that are pending already. One hit after the other takes what the ones before it left, so
     the first hit of a word is all that matters."""
     order = sequence(key)
-    t = tokens.where("e > s").select(key, "idx", "s", "e", "label")
-    hit = found.where("valid").select(F.col(key).alias("_k"), F.struct("priority", F.col("s").alias("hs"), F.col("e").alias("he"), "class").alias("_hit"))
-    free = t.where("label = 'O'").join(taken.select(F.col(key).alias("_t"), "first_idx", "last_idx"), (F.col(key) == F.col("_t")) & F.col("idx").between(F.col("first_idx"), F.col("last_idx")), "left_anti")
-    owned = free.join(hit, (F.col(key) == F.col("_k")) & (F.col("e") > F.col("_hit.hs")) & (F.col("s") < F.col("_hit.he"))).groupBy(key, "idx").agg(F.min("_hit").alias("_hit"))
+    hit = found.where("valid").select(key, "s", "e", F.struct("priority", F.col("s").alias("hs"), F.col("e").alias("he"), "class").alias("_hit"))
+    # a word is an interval of one index here
+    free = tokens.where("e > s and label = 'O'").select(key, F.col("idx").alias("s"), F.col("idx").alias("e"), F.struct("s", "e").alias("_place"))
+    free = marked(free, taken.select(key, F.col("first_idx").alias("s"), F.col("last_idx").alias("e")), [key], "inside", "_taken").where("not _taken")
+    owned = least_overlap(free.select(key, F.col("s").alias("idx"), "_place.s", "_place.e"), hit, key, "_hit", "_hit").select(key, "idx", "_hit")
     before = tokens.select(key, F.col("idx").alias("first_idx"), F.lag("label", 1, "O").over(order).alias("prev_label"))
     out = owned.groupBy(key, "_hit").agg(F.array_sort(F.collect_list("idx")).alias("indices"))
     out = out.select(key, "indices", F.col("indices")[0].alias("first_idx"), F.array_max("indices").alias("last_idx"), F.col("_hit.class").alias("class"), F.col("_hit.hs").alias("s"), F.col("_hit.he").alias("e"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.columns import entity
 from ..functions.registry import STRIDE, WINDOW
+from .intervals import first_from
 
 _WORD = re.compile(r"\S+")
 _PIECE = re.compile(r"\w+|[^\w\s]")
@@ -119,13 +120,12 @@ def inside_only_to_bio(df: DataFrame, label: str = "label", key: str = "sample_i
 
 
 def overlap_labels(words: DataFrame, pieces: DataFrame, mode: str = "first_non_o", key: str = "sample_id") -> DataFrame:
-    """words (key, idx, s, e) with the label of the first overlapping piece (key, idx, s, e, label), or of the first that isn't O; then repaired."""
-    p = pieces.select(F.col(key).alias("_k"), F.col("idx").alias("_i"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("label").alias("_label"))
+    """words (key, idx, s, e) with the label of the first overlapping piece (key, idx, s, e, label), or of the first that isn't O; then repaired.
+    Pieces are in text order, see first_from()."""
     if mode == "first_non_o":
-        p = p.where("_label <> 'O'")
-    joined = words.join(p, (F.col(key) == F.col("_k")) & (F.col("_s") < F.col("e")) & (F.col("_e") > F.col("s")), "left")
-    labelled = joined.groupBy(key, "idx", "s", "e").agg(F.coalesce(F.min_by("_label", "_i"), F.lit("O")).alias("label"))
-    return repair_rows(labelled, key=key)
+        pieces = pieces.where("label <> 'O'")
+    found = first_from(words.select(key, "idx", "s", "e"), pieces, key, "label")
+    return repair_rows(found.select(key, "idx", "s", "e", F.coalesce("found", F.lit("O")).alias("label")), key=key)
 
 
 def bio_spans(df: DataFrame, key: str = "sample_id", strict: bool = False) -> DataFrame:

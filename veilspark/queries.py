@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import columns as fn
 from .functions.registry import CLASS_ALIASES, NEMOTRON_EXCLUDED, NEMOTRON_FULL, PATTERNS, PII_CLASSES, PII_THRESHOLDS, UNIFIED, RouteConfig
-from .operators import arbiter, calibrate, correct, detect, evaluate, route
+from .operators import arbiter, calibrate, correct, detect, evaluate, quantiles, route
 from .operators import tokens as tk
 from .plans import experiments, pipeline
 from .sources import adapters, sinks
@@ -509,6 +509,32 @@ def latency_percentiles(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query(
+    "latency_by_type",
+    """SELECT event_type, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms,
+  round(quantile_cont(value, 0.99), 6) AS p99_ms, round(count(value) / sum(value) * 1000, 6) AS per_second FROM events GROUP BY event_type""",
+)
+def latency_by_type(spark, d):
+    out = evaluate.latency(read(spark, d, "events"), "value", ["event_type"])
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+_P = [0.005, 0.4, 0.5, 0.6, 0.995]
+
+
+@query(
+    "entropy_quantiles",
+    f"""WITH {TOK}, q AS (SELECT quantile_cont(entropy, {_P}) AS e, quantile_cont(confidence, {_P}) AS c FROM tok),
+x AS (SELECT unnest({_P}) AS p, unnest(e) AS entropy, unnest(c) AS confidence FROM q)
+SELECT p::DOUBLE AS p, round(entropy, 8) AS entropy, round(confidence, 8) AS confidence FROM x""",
+)
+def entropy_quantiles(spark, d):
+    rows = scored(spark, d)
+    e, c = (quantiles.exact_quantiles(rows, name, _P).withColumnRenamed("quantiles", name) for name in ("entropy", "confidence"))
+    both = e.crossJoin(F.broadcast(c)).withColumn("p", F.array(*[F.lit(x) for x in _P]))
+    return _round(both.select(F.explode(F.arrays_zip("p", "entropy", "confidence")).alias("x")).select("x.*"), "entropy", "confidence")
+
+
 @query("accuracy", f"WITH {TOK} SELECT round(avg((gold = pred)::INT), 8) AS accuracy, count(*) AS n_tokens FROM tok")
 def accuracy(spark, d):
     return _round(evaluate.accuracy(scored(spark, d)), "accuracy")
