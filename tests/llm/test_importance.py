@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from veilspark.llm import importance
@@ -77,4 +78,5 @@ def test_dictionary_hashes_each_string_once(spark, monkeypatch):
     monkeypatch.setattr(importance.zlib, "crc32", lambda x: hashed.append(x) or 7)
     told = importance._dictionary(10)(pa.concat_tables(asked)).to_pylist()
     assert sorted(hashed) == [b"a", b"a b", b"a b a", b"b", b"b a", b"b a b"]
-    assert told[-1]["totals"][7] == 30 and [r["block"] for r in told] == [1, 2, -1]
+    totals = importance.unplanes(importance._unpacked(told[-1]["totals"]), np.int64)
+    assert totals.tolist() == [0] * 7 + [30, 0, 0] and [r["block"] for r in told] == [1, 2, -1]

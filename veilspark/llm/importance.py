@@ -101,8 +101,9 @@ class Block:
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         ends = np.nonzero(buf == 10)[0]
-        doc = np.searchsorted(ends, start)
-        self.docs, self.doc, self.n_words = len(ends), doc, np.bincount(doc, minlength=len(ends))
+        self.n_words = np.diff(np.r_[0, np.searchsorted(start, ends)])
+        doc = np.repeat(np.arange(len(ends)), self.n_words)
+        self.docs, self.doc = len(ends), doc
         coded = _binary(buf[inside], stop - start).dictionary_encode()
         order = pc.sort_indices(coded.dictionary)
         rank = np.empty(len(order), np.int64)
@@ -198,8 +199,8 @@ def _asker(n_parts: int):
     return run
 
 
-_TOLD = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("buckets", pa.binary()), ("totals", pa.list_(pa.int64()))])
-_TOLD_DDL = "block long, p int, buckets binary, totals array<long>"
+_TOLD = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("buckets", pa.binary()), ("totals", pa.binary())])
+_TOLD_DDL = "block long, p int, buckets binary, totals binary"
 
 
 def _dictionary(n_buckets: int):
@@ -235,11 +236,24 @@ def _dictionary(n_buckets: int):
         for number, size in zip(table["block"].to_pylist(), sizes, strict=True):
             out.append({"block": number, "p": p, "buckets": _packed(planes(np.concatenate([x[a : a + s] for x, a, s in zip(told, at, size, strict=True)]))), "totals": None})
             at = [a + s for a, s in zip(at, size, strict=True)]
-        return pa.Table.from_pylist([*out, {"block": -1, "p": p, "buckets": None, "totals": totals.tolist()}], _TOLD)
+        return pa.Table.from_pylist([*out, {"block": -1, "p": p, "buckets": None, "totals": _packed(planes(totals))}], _TOLD)
 
     return run
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(unplanes(_unpacked(x), np.int64) for x in table["totals"].to_pylist())
+    return pa.table({"p": pa.array([table["p"][0].as_py()], pa.int32()), "totals": pa.array([_packed(planes(total))], pa.binary())})
+
+
+def _by_bucket(batches):
+    for batch in batches:
+        for data in batch.column("totals").to_pylist():
+            total = unplanes(_unpacked(data), np.int64)
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["bucket", "n"])
+
+
 _SCORED_DDL = "doc_id long, n_words long, n_features long, weight long"
 
 
@@ -285,9 +299,12 @@ class Features:
         self.told = materialize(asked.groupBy("p").applyInArrow(_dictionary(n_buckets), _TOLD_DDL), "feature-buckets")
 
     def totals(self) -> DataFrame:
-        """(bucket, n): features of all documents in each bucket that has any."""
-        each = self.told.where("totals is not null").select(F.posexplode("totals").alias("bucket", "n"))
-        return each.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 0")
+        """(bucket, n): features of all documents in each bucket that has any. The partitions' totals are summed as they are, about
+        the square root of their number at a time."""
+        each = self.told.where("totals is not null").select("p", "totals")
+        for groups in (math.isqrt(self.n_parts) + 1, 1):
+            each = each.withColumn("p", F.pmod("p", F.lit(groups)).cast("int")).groupBy("p").applyInArrow(_summed, "p int, totals binary")
+        return each.mapInArrow(_by_bucket, "bucket long, n long")
 
     def weights(self, gains: np.ndarray) -> DataFrame:
         """(doc_id, n_words, n_features, weight), one row per row of the table."""
