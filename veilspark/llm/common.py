@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -73,6 +74,13 @@ def delete(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted now: Spark keeps them until the driver happens to collect its garbage, which has
+    nothing to do with how full the executors' disks are. Frames that are still held lose nothing."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     path = getattr(df, "_veil_path", None)
