@@ -181,19 +181,6 @@ def test_context(spark):
     assert got == ["...two >>> three <<< four...", "...bcd>>> ef <<<ghij...", "...b >>> c <<< d...", "...>>> aaaa <<< bbbb...", "...def >>> ghi <<<..."]
 
 
-def test_calls_fail_alone():
-    seen = []
-
-    def backend(rows):
-        seen.append(len(rows))
-        if any(r["k"] == 2 for r in rows):
-            raise RuntimeError
-        return [str(r["k"]) for r in rows]
-
-    assert arbiter.careful(backend, 2, 1)([{"k": k} for k in range(4)]) == ["0", "1", None, "3"]
-    assert seen.count(1) == 5 and seen[0] == 4
-
-
 def test_hints_take_words_once(spark):
     tokens = sequence(spark, ["O", "O", "B-AGE", "O", "O"], s=[0.0, 2, 4, 6, 8], e=[1.0, 3, 5, 7, 9])
     found = spark.createDataFrame([(0, 2, "EMAIL", 0.0, 9.0, True), (0, 1, "DATE", 2.0, 5.0, True), (0, 0, "X", 0.0, 9.0, False)], "sample_id int, priority int, class string, s double, e double, valid boolean")

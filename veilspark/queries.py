@@ -17,6 +17,7 @@ from .operators import arbiter, calibrate, correct, detect, evaluate, quantiles,
 from .operators import tokens as tk
 from .plans import experiments, pipeline
 from .sources import adapters, sinks
+from .streaming import cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -664,6 +665,42 @@ def arbiter_calls(spark, d):
     return answered.select("sample_id", "idx", "v.new_class", "v.is_pii")
 
 
+_CONTEXT = """y0 AS (SELECT m.*, text, greatest(0, s - 400) AS low, least(length(text), e + 400) AS high FROM m JOIN documents USING (doc_id)),
+y AS (SELECT *, CASE WHEN low > 0 THEN greatest(1, low + 1 - length(regexp_extract(substr(text, 1, low + 1), '[^ \\n.]*$'))) ELSE 0 END AS a,
+  high + length(regexp_extract(substr(text, high + 1), '^[^ \\n.]*')) AS b FROM y0),
+c AS (SELECT *, '...' || replace(substr(text, a + 1, s - a), chr(10), ' ') || '>>> ' || match || ' <<<' || replace(substr(text, e + 1, b - e), chr(10), ' ') || '...' AS context FROM y)"""
+
+
+def _filled(template: str) -> str:
+    """SQL of a prompt's template over a row of (context, match, class)."""
+    out = _sql(template.replace("{classes}", ", ".join((*PII_CLASSES, "O"))))
+    out = f"'{out}'"
+    for name, value in (("context", "context"), ("target", "trim(match)"), ("prev_label", "'O'"), ("pred", "class")):
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+@query(
+    "arbiter_prompts",
+    f"""WITH {DOCS}, {_CONTEXT}
+SELECT doc_id, s, class, '{arbiter.PROVIDERS["pii"].system}' AS system, CASE WHEN doc_id % 3 = 0 THEN {_filled(arbiter.PROMPTS["o_span"])} ELSE {_filled(arbiter.PROMPTS["span"])} END AS prompt FROM c""",
+)
+def arbiter_prompts(spark, d):
+    docs = read(spark, d, "documents").withColumnRenamed("doc_id", "sample_id")
+    kind = F.when(F.col("sample_id") % 3 == 0, "o_span").otherwise("entity").alias("kind")
+    spans = detect.matches(docs, "sample_id").select("sample_id", kind, F.array(F.lit(0)).alias("indices"), "class", "s", "e", F.lit("O").alias("prev_label"))
+    rows = pipeline.requests(spans.withColumn("indices", F.array("s")), docs)
+    return rows.select(F.col("sample_id").alias("doc_id"), F.col("indices")[0].alias("s"), F.col("pred").alias("class"), F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("prompt"))
+
+
+@query("fifo_cache")
+def fifo_cache(spark, d):
+    """Per shard, after all turns: every turn asks for the answer to its role and its length modulo 40. FIFO order can't be said in SQL;
+    tests/test_cache.py has a brute force."""
+    rows = read(spark, d, "conversations").select(F.pmod(F.xxhash64("conv_id"), F.lit(64)).alias("shard"), F.expr("conv_id * 100000 + turn").alias("seq"), F.lit("ask").alias("op"), F.concat_ws("|", "role", F.length("text") % 40).alias("cache_key"))
+    return cache.totals(cache.served(rows, 20, lambda asked: [asked[0]["cache_key"].upper()]))
+
+
 @query(
     "arbiter_cache_stats",
     f"WITH {TOK}, k AS (SELECT md5(concat_ws('|', 'w' || idx % 4, 'c', gold, pred)) AS key, pred FROM tok), p AS (SELECT key, count(*) AS n, bool_or(pred = 'O') AS known FROM k GROUP BY key) SELECT sum(n)::BIGINT AS requests, count(*) AS distinct_requests, (sum(n) - sum((NOT known)::INT))::BIGINT AS hits, sum((NOT known)::INT)::BIGINT AS misses, round((sum(n) - sum((NOT known)::INT)) / sum(n), 8) AS hit_rate FROM p",
