@@ -100,3 +100,25 @@ def test_windows_around_two_hot_anchors(spark, monkeypatch):
     assert all(n_removed == 0 for _, _, n_removed, _, _ in want)
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_contexts_that_collide_in_polynomials(spark):
+    """Two texts of 700 bytes with one polynomial hash and no 400 bytes in common."""
+    from veilspark.llm.textgroups import BYTE_POWERS, BYTE_VALUES, Prefix
+
+    def zeros(x, y):
+        d = int(BYTE_VALUES[x]) ^ int(BYTE_VALUES[y])
+        return (d & -d).bit_length()
+
+    one, other = max(((x, y) for x in range(33, 127) for y in range(x)), key=lambda p: zeros(*p))
+    word = [one]
+    while len(word) < 512:
+        word += [other if x == one else one for x in word]
+    turned = [other if x == one else one for x in word]
+    rng = random.Random(3)
+    before, after = ("".join(rng.choices("abcdefgh", k=94)) for _ in range(2))
+    rows = [(k, before + bytes(w).decode() + after) for k, w in enumerate((word, turned))]
+    first, second = (Prefix(BYTE_VALUES[np.frombuffer(t.encode(), np.uint8)], BYTE_POWERS).of(0, 700) for _, t in rows)
+    assert first == second and all(r[2] == 0 for r in brute(rows))
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)

@@ -9,8 +9,9 @@ form a pair and stay cut as single names.
 Rounds 1 and 2 join single words, rounds 3 to 5 symbols of up to two words; each loses at most the longest symbol it
 may join at either end, 1 + 1 + 2 + 2 + 2 = 8 words together. So in a window of 20 words the symbol over word 10 is the
 same in all occurrences. A symbol of n words is keyed with the 11 - n words before and 10 - n words after it, which lie in
-every window around it. Keys that several groups have reveal repeats; all windows around them are exchanged by a 96-bit
-hash and checked for the first occurrence in order of (doc_id, start).
+every window around it. Keys that several groups have reveal repeats; all windows around them are exchanged by 128 bits of
+hashes and checked for the first occurrence in order of (doc_id, start). Each half of a window's hash is a polynomial of its own
+over its own 64-bit XXH3 hashes of the words; words themselves are not compared.
 
 Defined results: null text has no words; of rows with one doc_id and text (repeated rows) none is earlier than another;
 of rows with one doc_id and other texts the order is that of the groups; rows without doc_id come last. Texts of fewer than
@@ -55,7 +56,7 @@ class Windows:
     """The windows and keyed symbols of the texts of a group."""
 
     def __init__(self, all_texts: list[bytes]):
-        self.hashes, self.first = words_of(all_texts)
+        self.hashes, self.second, self.first = words_of(all_texts)
         self.counts = np.diff(self.first)
         text_of = np.repeat(np.arange(len(all_texts)), self.counts)
         self.prefix = Prefix(self.hashes, WORD_POWERS)
@@ -77,8 +78,7 @@ class Windows:
         return mix(around ^ mix(names)), low, high - low + 1
 
     def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        second = Prefix(mix(self.hashes ^ _U(0x589965CC75374CC3)), WORD_POWERS_2)
-        return self.prefix.of(at, at + WINDOW), (second.of(at, at + WINDOW) >> _U(32)).astype(np.uint32)
+        return self.prefix.of(at, at + WINDOW), Prefix(self.second, WORD_POWERS_2).of(at, at + WINDOW)
 
 
 def _rows(schema, rows):
@@ -150,7 +150,7 @@ def _later_windows(table: pa.Table) -> pa.Table:
     """To each group the windows that another group has earlier."""
     h1 = [np.frombuffer(x, np.uint64) for x in table["h1"].to_pylist()]
     g = np.repeat(np.array(table["g"].to_pylist()), [len(x) for x in h1])
-    h1, h2 = np.concatenate(h1), np.concatenate([np.frombuffer(x, np.uint32) for x in table["h2"].to_pylist()])
+    h1, h2 = np.concatenate(h1), np.concatenate([np.frombuffer(x, np.uint64) for x in table["h2"].to_pylist()])
     ids = np.concatenate([unplanes(x, np.int64) for x in table["ids"].to_pylist()])
     order = np.lexsort((g, ids, h2, h1))
     h1, h2, g = h1[order], h2[order], g[order]
@@ -177,7 +177,7 @@ def _remove(with_text: bool):
         if len(at):
             again[order[1:]] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
             f1 = np.concatenate([np.frombuffer(x, np.uint64) for x in said["h1"].to_pylist()] or [np.zeros(0, np.uint64)])
-            f2 = np.concatenate([np.frombuffer(x, np.uint32) for x in said["h2"].to_pylist()] or [np.zeros(0, np.uint32)])
+            f2 = np.concatenate([np.frombuffer(x, np.uint64) for x in said["h2"].to_pylist()] or [np.zeros(0, np.uint64)])
             if len(f1):
                 o = np.argsort(f1)
                 f1, f2 = f1[o], f2[o]

@@ -4,7 +4,7 @@ Every window of MATCH bytes has an anchor, its leftmost K-byte string of smalles
 same anchor at the same place. So only anchors meet: those with equal K bytes. What can matter to an anchor is its context,
 from REACH bytes before it to MATCH bytes after its start, within its text.
 
-A context that occurs twice is repeated as a whole. Of the others, the suffixes (from the anchor on) and the reversed
+A context that occurs twice, by 64 bits of XXH3 of its bytes beside the key, is repeated as a whole. Of the others, the suffixes (from the anchor on) and the reversed
 prefixes are sorted by mergesort: two of them compare by a binary search for their common extension over prefix polynomial
 hashes, then by one byte. The common extensions of neighbours are checked byte by byte; if a hash lied, the rows are sorted
 by their bytes instead. For every offset of a window around the anchor, neighbours whose extensions reach far enough form
@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def _context_hashes(data: bytes, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes of each context, seeded by where the anchor is in it: a context that occurs twice is removed without another
+    look at its bytes, and polynomials modulo a power of two collide on Thue-Morse words."""
+    each = zip((at - left).tolist(), (at + right).tolist(), (left * 1024 + right).tolist(), strict=True)
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b, seed in each), np.uint64, len(at))
+
+
 class Anchors:
     """Anchors of the texts of a group, in order: text, at (byte of the text), left, right (bytes of context), key, context."""
 
@@ -103,7 +111,7 @@ class Anchors:
         text = np.searchsorted(offsets, at + low, "right") - 1
         left = np.minimum(REACH, at + low - offsets[text])
         right = np.minimum(MATCH, offsets[text + 1] - at - low)
-        context = mix(prefix.of(at - left, at + right) ^ (left * 1024 + right).astype(np.uint64))
+        context = _context_hashes(data, at, left, right)
         return text + number, at + low - offsets[text], left, right, hashes[at], context
 
 

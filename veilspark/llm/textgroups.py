@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,17 +65,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of ``data``."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes of every word of ``data``, starts of the words): XXH3 with two seeds, 128 bits together, once per distinct word."""
     buf = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate([[True], _SPACE[buf], [True]]).astype(np.int8))
     start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    hashes = Prefix(BYTE_VALUES[buf], BYTE_POWERS).of(start, stop)
-    return mix(hashes ^ (stop - start).astype(np.uint64))
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(stop - start, out=offsets[1:])
+    letters = np.ascontiguousarray(buf[~_SPACE[buf]])
+    coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    one, two = (np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))[at] for seed in (0, 0x9E3779B97F4A7C15))
+    return one, two, start
 
 
-def words_of(all_texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first word of each text and the end): texts are hashed some MB at a time."""
+def words_of(all_texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(both hashes of all words, first word of each text and the end): texts are hashed some MB at a time."""
     parts, counts = [], np.zeros(len(all_texts) + 1, np.int64)
     at = 0
     while at < len(all_texts):
@@ -88,20 +94,17 @@ def words_of(all_texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray,
                 cut = pos + block
                 while cut < len(data) and data[cut] not in b" \t\n\x0b\x0c\r":
                     cut += 1
-                parts.append(word_hashes(data[pos:cut]))
-                counts[at + 1] += len(parts[-1])
+                parts.append(word_hashes(data[pos:cut])[:2])
+                counts[at + 1] += len(parts[-1][0])
                 pos = cut
         else:
-            data = b"\n".join(all_texts[at:end])
-            buf = np.frombuffer(data, np.uint8)
-            hashes = word_hashes(data)
-            space = _SPACE[buf]
-            starts = np.nonzero(~space & np.r_[True, space[:-1]])[0]
+            one, two, starts = word_hashes(b"\n".join(all_texts[at:end]))
             offsets = np.cumsum([0, *(len(x) + 1 for x in all_texts[at:end])])
             counts[at + 1 : end + 1] = np.diff(np.searchsorted(starts, offsets))
-            parts.append(hashes)
+            parts.append((one, two))
         at = end
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(counts)
+    one, two = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return one, two, np.cumsum(counts)
 
 
 def _map_side(batches):
