@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -74,11 +73,17 @@ def delete(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs deleted now: Spark keeps them until the driver happens to collect its garbage, which has
-    nothing to do with how full the executors' disks are. Frames that are still held lose nothing."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Work within deletes its shuffle files when its job has ended, not when the driver happens to collect its garbage: for a table that is
+    written once, and whose exchange is as large as what follows. A stage that is lost while the job runs is made again as ever."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def drop_table(df: DataFrame) -> None:

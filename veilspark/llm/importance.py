@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
-from .common import delete, delete_at_exit, materialize, read, release, shared_dir, small_batches
+from .common import delete, delete_at_exit, materialize, read, shared_dir, shuffles_dropped, small_batches
 from .textgroups import mix, planes, unplanes
 
 BUCKETS, SEED, SHARE, MIN_WORDS = 10_000, 42, 0.05, 20
@@ -296,10 +296,9 @@ class Features:
         size = self.blocks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
         self.n_parts, self.n_buckets = max(2 * least, -(-size // PART_BYTES)), n_buckets
         asked = self.blocks.select("block", "data").mapInArrow(_asker(self.n_parts), _ASKED_DDL)
-        self.told = materialize(asked.groupBy("p").applyInArrow(_dictionary(n_buckets), _TOLD_DDL), "feature-buckets")
-        del asked
-        # what was asked is the largest exchange; the replies follow
-        release(spark)
+        # what is asked is the largest exchange, and it has gone when the replies follow
+        with shuffles_dropped(spark):
+            self.told = materialize(asked.groupBy("p").applyInArrow(_dictionary(n_buckets), _TOLD_DDL), "feature-buckets")
 
     def totals(self) -> DataFrame:
         """(bucket, n): features of all documents in each bucket that has any. The partitions' totals are summed as they are, about
