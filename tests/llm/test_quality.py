@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import quality
 
@@ -88,3 +89,22 @@ def test_empty(spark):
     assert quality.judge(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "w%d " * 3 + " ".join(f"w{i}" for i in range(60)), "en")], "doc_id long, text string, lang string")
     assert [r.kept for r in quality.judge(one, labels, False).collect()] == [True]
+
+
+def test_clashing_columns_and_null_language(spark):
+    names = ("_s", "_cut_symbols", "_f", "_more", "stratum", "rule", "quality", "_l", "n_words", "kept", "a`b")
+    rows = [(k, "good words here " * 30 if k % 2 else "#### " * 60, [None, ""][k // 2 % 2], k * 10) for k in range(8)] + [(3, None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long").selectExpr("*", *[f"n as `{n.replace('`', '``')}`" for n in names])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    out = quality.judge(docs, labels)
+    got = out.collect()
+    assert len(got) == len(rows) and sorted(r["_s"] for r in got) == sorted(r[3] for r in rows)
+    assert all(r[n] == r.n for r in got for n in names if n not in ("n_words", "kept", "a`b")) and "a`b" in out.columns
+    assert all(isinstance(r.kept, bool) and r.n_words == len((r.text or "").split()) for r in got)
+
+
+def test_null_language_is_a_stratum_of_its_own(spark):
+    rows = [(None, 1, 0)] * 800 + [(None, 0, 100)] * 100 + [("", 1, 100)] * 800
+    labelled = spark.createDataFrame(rows, "lang string, quality int, n_symbols long").select("lang", "quality", *[F.col(f) if f == "n_symbols" else F.lit(100).cast("long").alias(f) for f in quality._FIELDS])
+    got = {(r.stratum, r.rule) for r in quality.choose_cutoffs(labelled).collect()}
+    assert (None, "symbols") in got and ("", "symbols") not in got

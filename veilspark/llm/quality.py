@@ -98,7 +98,7 @@ def _scores() -> dict:
 
 
 def _stratum():
-    return F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
+    return F.col("lang").alias("stratum")
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -156,16 +156,23 @@ def judge(docs: DataFrame, labels: DataFrame, texts_too: bool = True) -> DataFra
     """``docs`` (doc_id, text, lang, more) with counts, base_failed and kept; cutoffs from ``labels`` (doc_id, quality).
 
     The counts are written without the texts; with ``texts_too`` the texts are counted once more rather than copied."""
-    marked = materialize(with_features(docs).drop("text"), "quality-docs")
+    own = ("doc_id", "text", "lang")
+    # other columns travel as one value, so that none can clash with a working column
+    more = [c for c in docs.columns if c.lower() not in own and c.lower() not in (*_FIELDS, "base_failed", "kept")]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in more]).alias("_more")] if more else []
+    rows = docs.select(*own, *carried)
+    marked = materialize(with_features(rows.select(*own) if texts_too else rows).drop("text"), "quality-docs")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.min("quality").alias("quality"))
     labelled = marked.select("doc_id", "lang", *_FIELDS).join(known, F.col("doc_id") == F.col("_l"))
     cutoffs = choose_cutoffs(labelled).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
     cutoffs = materialize(cutoffs.select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_cut_{r}") for r in RULES]), "quality-cutoffs")
-    out = (with_features(docs) if texts_too else marked).join(small_side(cutoffs, cutoffs.count()), _stratum() == F.col("_s"), "left")
+    out = (with_features(rows) if texts_too else marked).join(small_side(cutoffs, cutoffs.count()), _stratum().eqNullSafe(F.col("_s")), "left")
     bad = F.lit(False)
     for rule, score in _scores().items():
         bad = bad | F.coalesce(score > F.col(f"_cut_{rule}"), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_s", *[f"_cut_{r}" for r in RULES])
+    out = out.withColumn("kept", ~F.col("base_failed") & ~bad)
+    kept = [F.col(f"_more.`{c}`") if c in more else F.col(c) for c in docs.columns if c in more or c.lower() in own and c in out.columns]
+    return out.select(*kept, *_FIELDS, "base_failed", "kept")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
