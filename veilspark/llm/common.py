@@ -93,6 +93,11 @@ def drop_table(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part of an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

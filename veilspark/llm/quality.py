@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read, small_side, texts
+from .common import materialize, quoted, read, small_side, texts
 
 ALPHA, DELTA, COST = 0.05, 0.05, 20
 MIN_WORDS = 50
@@ -159,7 +159,7 @@ def judge(docs: DataFrame, labels: DataFrame, texts_too: bool = True) -> DataFra
     own = ("doc_id", "text", "lang")
     # other columns travel as one value, so that none can clash with a working column
     more = [c for c in docs.columns if c.lower() not in own and c.lower() not in (*_FIELDS, "base_failed", "kept")]
-    carried = [F.struct(*[F.col(f"`{c}`") for c in more]).alias("_more")] if more else []
+    carried = [F.struct(*[F.col(quoted(c)) for c in more]).alias("_more")] if more else []
     rows = docs.select(*own, *carried)
     marked = materialize(with_features(rows.select(*own) if texts_too else rows).drop("text"), "quality-docs")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.min("quality").alias("quality"))
@@ -171,7 +171,7 @@ def judge(docs: DataFrame, labels: DataFrame, texts_too: bool = True) -> DataFra
     for rule, score in _scores().items():
         bad = bad | F.coalesce(score > F.col(f"_cut_{rule}"), F.lit(False))
     out = out.withColumn("kept", ~F.col("base_failed") & ~bad)
-    kept = [F.col(f"_more.`{c}`") if c in more else F.col(c) for c in docs.columns if c in more or c.lower() in own and c in out.columns]
+    kept = [F.col(f"_more.{quoted(c)}") if c in more else F.col(c) for c in docs.columns if c in more or c.lower() in own and c in out.columns]
     return out.select(*kept, *_FIELDS, "base_failed", "kept")
 
 
