@@ -36,7 +36,7 @@ from .textgroups import mix, planes, unplanes
 
 BUCKETS, SEED, SHARE, MIN_WORDS = 10_000, 42, 0.05, 20
 #: Bytes of text of a block, and of text per dictionary partition.
-BLOCK_BYTES, PART_BYTES = 1 << 23, 1 << 22
+BLOCK_BYTES, PART_BYTES = 1 << 24, 1 << 23
 _U = np.uint64
 #: Lower case for A-Z; whatever is neither a letter a-z, a digit nor beyond ASCII ends a word.
 _NORMAL = bytes((k + 32 if 65 <= k <= 90 else k) if (48 <= k <= 57 or 65 <= k <= 90 or 97 <= k <= 122 or k >= 128) else 32 for k in range(256))
@@ -102,18 +102,19 @@ class Block:
         start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         ends = np.nonzero(buf == 10)[0]
         self.n_words = np.diff(np.r_[0, np.searchsorted(start, ends)])
-        doc = np.repeat(np.arange(len(ends)), self.n_words)
+        doc = np.repeat(np.arange(len(ends), dtype=np.int32), self.n_words)
         self.docs, self.doc = len(ends), doc
         coded = _binary(buf[inside], stop - start).dictionary_encode()
         order = pc.sort_indices(coded.dictionary)
-        rank = np.empty(len(order), np.int64)
-        rank[order.to_numpy()] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
         self.words = coded.dictionary.take(order)
-        self.ids = rank[coded.indices.to_numpy()] if len(start) else np.zeros(0, np.int64)
+        self.ids = rank[coded.indices.to_numpy()] if len(start) else np.zeros(0, np.int32)
+        del buf, inside, edge, start, stop, ends, coded
         n = max(1, len(self.words))
         # the last word of a document starts no pair, the last two no triple
-        self.at_2 = np.nonzero(doc[:-1] == doc[1:])[0]
-        pairs, self.pairs, count_2 = _ranked(self.ids[self.at_2] * n + self.ids[self.at_2 + 1])
+        self.at_2 = np.nonzero(doc[:-1] == doc[1:])[0].astype(np.int32)
+        pairs, self.pairs, count_2 = _ranked(self.ids[self.at_2].astype(np.int64) * n + self.ids[self.at_2 + 1])
         self.first, self.second = pairs // n, pairs % n
         more = doc[self.at_2] == doc[np.minimum(self.at_2 + 2, len(doc) - 1)]
         more &= self.at_2 + 2 < len(doc)
