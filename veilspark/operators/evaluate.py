@@ -34,6 +34,24 @@ def per_label(tokens: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall"))).withColumn("support", F.col("tp") + F.col("fn"))
 
 
+def summary(tokens: DataFrame) -> DataFrame:
+    """(level, entity, prefix, tp, fp, fn, support, precision, recall, f1) of labels, of their classes and of all, in one pass: the pairs of labels
+    are counted once, and a rollup adds them up. level is label, class or total; what a level sums over is null."""
+    pairs = tokens.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.col("gold") == F.col("pred")
+    sides = F.array(
+        F.struct(F.col("gold").alias("label"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(hit, 0).otherwise(F.col("n")).alias("fn")),
+        F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("long").alias("fn")),
+    )
+    rows = pairs.select(F.explode(sides).alias("x")).select("x.*").where("label <> 'O'")
+    rows = rows.select(entity(F.col("label")).alias("entity"), F.when(F.col("label").rlike("^[BI]-"), F.substring("label", 1, 1)).otherwise("").alias("prefix"), "tp", "fp", "fn")
+    out = rows.rollup("entity", "prefix").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.grouping_id().alias("_g"))
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    level = F.when(F.col("_g") == 0, "label").when(F.col("_g") == 1, "class").otherwise("total")
+    out = out.where("_g < 3 or tp is not null").select(level.alias("level"), "entity", "prefix", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), p.alias("precision"), r.alias("recall"))
+    return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+
 def averages(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, average, precision, recall, f1): macro, micro and weighted over the rows of per_label()."""
     by = by or []

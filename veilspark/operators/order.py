@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -17,12 +19,12 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position", keep: C
 
     Two passes over the sorted rows and one row per partition in the sum; rows that ``order`` doesn't tell apart get consecutive
     places in any order. Without ``order`` rows are numbered as they come, partition after partition. ``keep`` writes the sorted rows
-    once (a table, or a checkpoint), so that both passes see the same; without it a checkpoint is made."""
+    once, so that both passes see the same; without it they go to the shared folder."""
     ordered = df
     if order:
         ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ids = f"_{name}_id"
-    marked = (keep or checkpointed)(ordered.withColumn(ids, F.monotonically_increasing_id()))
+    marked = (keep or written)(ordered.withColumn(ids, F.monotonically_increasing_id()))
     per = marked.groupBy(F.shiftright(ids, _BITS).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = per.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     joined = marked.withColumn("_part", F.shiftright(ids, _BITS)).join(F.broadcast(before), "_part")
@@ -30,17 +32,40 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position", keep: C
     return joined.withColumn(name, place).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; sessions without one (tests) get a temporary folder, a cluster an error."""
-    import tempfile
+def positional_zip(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], name: str = "position", keep=None) -> DataFrame:
+    """Row k of ``left`` beside row k of ``right``, as many as the shorter has: (position, columns of left, columns of right) for tables without a
+    key in common. A column of right that left has, too, gets the prefix right_. Each side is sorted by ranges and counted per range, so
+    that neither passes through one task; the join is by position."""
+    taken = {c.lower() for c in (name, *left.columns)}
+    names = []
+    for c in right.columns:
+        while c.lower() in taken:
+            c = f"right_{c}"
+        taken.add(c.lower())
+        names.append(c)
+    a, b = numbered(left, left_order, name, keep), numbered(right, right_order, "_place", keep).toDF(*names, name)
+    return a.join(b, name).select(name, *[F.col(f"`{c}`") for c in (*left.columns, *names)])
 
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset a local master (tests) gets a temporary folder, and a cluster an
+    error: its executors don't see the driver's folders."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("veilspark.work.dir", None)
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+        spark.conf.set("veilspark.work.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: it is computed once, and what follows survives lost executors. The driver's JVM deletes
+    the table when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

@@ -152,8 +152,3 @@ def hint_spans(tokens: DataFrame, found: DataFrame, taken: DataFrame, key: str =
 def shared_only(spans: DataFrame, shared) -> DataFrame:
     """Spans of classes that the model and the arbiter share: a restricted vocabulary routes nothing else."""
     return spans.where(F.col("class").isin(*shared))
-
-
-def route_counters(pending: DataFrame, kind: str = "kind") -> DataFrame:
-    """(kind, n): what goes to the arbiter by kind (entity, hint, o_span)."""
-    return pending.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import columns as fn
 from .functions.registry import CLASS_ALIASES, NEMOTRON_EXCLUDED, NEMOTRON_FULL, PATTERNS, PII_CLASSES, PII_THRESHOLDS, UNIFIED, RouteConfig
-from .operators import arbiter, calibrate, correct, detect, evaluate, quantiles, route
+from .operators import arbiter, calibrate, correct, detect, evaluate, intervals, order, producers, quantiles, route, subwords
 from .operators import tokens as tk
 from .plans import experiments, pipeline
 from .sources import adapters, sinks
@@ -510,6 +510,68 @@ def latency_percentiles(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query(
+    "summary_rollup",
+    f"""WITH {TOK}, x AS (SELECT gold AS label, (gold = pred)::INT AS tp, 0 AS fp, (gold <> pred)::INT AS fn FROM tok UNION ALL SELECT pred, 0, (gold <> pred)::INT, 0 FROM tok),
+y AS (SELECT regexp_replace(label, '^[BI]-', '') AS entity, left(label, 1) AS prefix, * FROM x WHERE label <> 'O'),
+z AS (SELECT entity, prefix, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, grouping(entity, prefix) AS g FROM y GROUP BY GROUPING SETS ((entity, prefix), (entity), ())),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM z)
+SELECT CASE g WHEN 0 THEN 'label' WHEN 1 THEN 'class' ELSE 'total' END AS level, entity, prefix, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, (tp + fn)::BIGINT AS support,
+  round(p, 8) AS precision, round(r, 8) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 8) AS f1 FROM m""",
+)
+def summary_rollup(spark, d):
+    return _round(evaluate.summary(scored(spark, d)), "precision", "recall", "f1")
+
+
+@query(
+    "positional_zip",
+    """WITH a AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS position, doc_id FROM documents), b AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS position, conv_id, turn FROM conversations)
+SELECT position, doc_id, conv_id, turn FROM a JOIN b USING (position)""",
+)
+def positional_zip(spark, d):
+    return order.positional_zip(read(spark, d, "documents").select("doc_id"), read(spark, d, "conversations").select("conv_id", "turn"), [F.col("doc_id").desc()], [F.col("conv_id"), F.col("turn")])
+
+
+@query(
+    "producer_spans",
+    """WITH x AS (SELECT doc_id, 'NUMBER' AS class, regexp_extract_all(text, '[0-9]{4,}') AS m FROM documents UNION ALL SELECT doc_id, 'SHOUT', regexp_extract_all(text, '[A-Z]{3,}') FROM documents)
+SELECT doc_id, class, len(m)::BIGINT AS n, list_sum(list_transform(m, lambda t: length(t)))::BIGINT AS n_chars, round(list_sum(list_transform(m, lambda t: least(1.0::DOUBLE, length(t) / 20))), 8) AS score FROM x WHERE len(m) > 0""",
+)
+def producer_spans(spark, d):
+    found = producers.produced(read(spark, d, "documents"), ["NUMBER", "SHOUT", "NAME"], producers.pattern_producer({"NUMBER": "[0-9]{4,}", "SHOUT": "[A-Z]{3,}"}), "doc_id")
+    return found.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") - F.col("s")).alias("n_chars"), F.round(F.sum("score"), 8).alias("score"))
+
+
+@query("bio_words_by_sweep", ORACLES["bio_words"])
+def bio_words_by_sweep(spark, d):
+    docs = read(spark, d, "documents")
+    spans = pipeline.entities(docs)
+    words = docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(tk.word_tokens(F.col("text"))).alias("w")).select("doc_id", "w.*")
+    labelled = intervals.align_rows(words, spans, "doc_id").where("label <> 'O'").select("doc_id", "idx", "label")
+    return labelled.join(words.select("doc_id", "idx", "token"), ["doc_id", "idx"])
+
+
+@query("subword_windows")
+def subword_windows(spark, d):
+    """How the subwords of every document are cut: SQL has no tokenizer; tests/test_producers.py compares with the tokenizer itself."""
+    return subwords.limits(subwords.windowed(read(spark, d, "documents"), subwords.DEFAULT, "doc_id"), "doc_id")
+
+
+@query(
+    "observed_actions",
+    ORACLES["priority_fold"].replace("SELECT 'promoted' AS action, class, count(*) AS n_matches, sum(b - a + 1)::BIGINT AS n_tokens", "SELECT 'promoted' AS action, count(*) AS n_matches, sum(b - a + 1)::BIGINT AS n_tokens").replace(" GROUP BY class", ""),
+)
+def observed_actions(spark, d):
+    """What the fold has done, from metrics of the job that computes its labels."""
+    docs = read(spark, d, "documents")
+    seen = Observation()
+    rows = detect.with_matches(docs.select("doc_id", "text")).withColumn("tokens", tk.word_tokens(F.col("text")))
+    folded = rows.withColumn("f", correct.fold_matches(F.transform("tokens", lambda t: F.lit("O")), F.col("tokens"), F.col("matches"))).withColumn("actions", F.col("f.actions"))
+    folded.observe(seen, *[c.alias(n) for n, c in correct.fold_metrics().items()]).select("doc_id", "f.labels").write.format("noop").mode("overwrite").save()
+    found = seen.get
+    return spark.createDataFrame([(a, found[a], found[f"{a}_words"]) for a in correct.ACTIONS[:-1] if found[a]], "action string, n_matches long, n_tokens long")
+
+
 @query(
     "latency_by_type",
     """SELECT event_type, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms,
