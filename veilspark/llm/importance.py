@@ -36,11 +36,11 @@ from .textgroups import mix, planes, unplanes
 
 BUCKETS, SEED, SHARE, MIN_WORDS = 10_000, 42, 0.05, 20
 #: Bytes of text of a block, and of text per dictionary partition.
-BLOCK_BYTES, PART_BYTES = 1 << 24, 1 << 23
+BLOCK_BYTES, PART_BYTES = 12 << 20, 1 << 23
 _U = np.uint64
 #: Lower case for A-Z; whatever is neither a letter a-z, a digit nor beyond ASCII ends a word.
 _NORMAL = bytes((k + 32 if 65 <= k <= 90 else k) if (48 <= k <= 57 or 65 <= k <= 90 or 97 <= k <= 122 or k >= 128) else 32 for k in range(256))
-_BLOCKS = "block long, ids array<long>, data binary"
+_BLOCKS = "block long, ids array<long>, size long, data binary"
 
 
 def _packer(block_bytes: int):
@@ -50,7 +50,7 @@ def _packer(block_bytes: int):
         task, n, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], ["block", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([b"".join(parts)], pa.binary())], ["block", "ids", "size", "data"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -115,12 +115,13 @@ class Block:
         # the last word of a document starts no pair, the last two no triple
         self.at_2 = np.nonzero(doc[:-1] == doc[1:])[0].astype(np.int32)
         pairs, self.pairs, count_2 = _ranked(self.ids[self.at_2].astype(np.int64) * n + self.ids[self.at_2 + 1])
-        self.first, self.second = pairs // n, pairs % n
+        self.first, self.second = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del pairs
         more = doc[self.at_2] == doc[np.minimum(self.at_2 + 2, len(doc) - 1)]
         more &= self.at_2 + 2 < len(doc)
         self.at_3 = self.at_2[more]
         triples, self.triples, count_3 = _ranked(self.pairs[more].astype(np.int64) * n + self.ids[self.at_3 + 2])
-        self.pair, self.third = triples // n, triples % n
+        self.pair, self.third = (triples // n).astype(np.int32), (triples % n).astype(np.int32)
         self.counts = np.bincount(self.ids, minlength=len(self.words)), count_2, count_3
 
     def dealt(self, n_parts: int) -> list[np.ndarray]:
@@ -294,7 +295,7 @@ class Features:
             rows.mapInArrow(_packer(block_bytes), _BLOCKS).write.bucketBy(least, "block").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         delete_at_exit(spark, self.path)
         self.blocks = spark.table(self.name)
-        size = self.blocks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        size = self.blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         self.n_parts, self.n_buckets = max(2 * least, -(-size // PART_BYTES)), n_buckets
         asked = self.blocks.select("block", "data").mapInArrow(_asker(self.n_parts), _ASKED_DDL)
         # what is asked is the largest exchange, and it has gone when the replies follow
@@ -312,7 +313,7 @@ class Features:
     def weights(self, gains: np.ndarray) -> DataFrame:
         """(doc_id, n_words, n_features, weight), one row per row of the table."""
         told = self.told.where("totals is null").select("block", "p", "buckets")
-        return self.blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_weigher(self.n_parts, gains), _SCORED_DDL)
+        return self.blocks.select("block", "ids", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_weigher(self.n_parts, gains), _SCORED_DDL)
 
     def close(self) -> None:
         spark = self.blocks.sparkSession
