@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.registry import NEMOTRON_CLEAN, NEMOTRON_EXCLUDED
+from veilspark.plans import experiments
 from veilspark.sources import adapters, sinks
 from veilspark.streaming import stream
 
@@ -29,6 +31,23 @@ def test_span_sources(spark, tmp_path):
     assert [[y.label for y in r.x] for r in literal] == [["it's"], [], []]
 
 
+def test_literal_spans_without_numbers(spark):
+    raw = "[{'label': 'a', 'start': 'abc', 'end': 2}, {'label': 'b', 'start': '1', 'end': 3}, {'label': 'c', 'start': None, 'end': 3}, {'label': 'd', 'start': 1, 'end': 10**30}, {'label': 'e', 'start': float, 'end': 1}]"
+    rows = [(raw[: raw.index(", {'label': 'd'")] + "]",), (raw,), ("[{'label': 'd', 'start': 1, 'end': 99999999999999999999}, {'label': 'f', 'start': 0, 'end': 1}]",)]
+    got = spark.createDataFrame(rows, "s string").select(adapters.literal_spans(F.col("s")).alias("x")).collect()
+    assert [[(y.label, y.start, y.end) for y in r.x] for r in got] == [[("b", 1, 3)], [], [("f", 0, 1)]]
+
+
+def test_loading_a_bounded_sample(spark, tmp_path):
+    bc = lines(tmp_path / "b.json", [{"id": str(k), "tokens": ["a", "b"], "tags": [1, 4]} for k in range(40)])
+    some = [{r.sample_id for r in experiments.load(spark, "bc5cdr", bc, 7, seed).collect()} for seed in (1, 1, 2)]
+    assert some[0] == some[1] != some[2] and len(some[0]) == 7
+    wanted = adapters.sample_count("bc5cdr")
+    assert experiments.load(spark, "bc5cdr", bc).count() == (40 if wanted is None else min(40, wanted))
+    with pytest.raises(ValueError, match="known are"):
+        experiments.load(spark, "nothing", bc)
+
+
 def test_token_sources(spark, tmp_path):
     bc = lines(tmp_path / "b.json", [{"id": "1", "tokens": ["a", "b"], "tags": [1, 4]}, {"id": "2", "tokens": [], "tags": []}])
     assert gold(adapters.read_bc5cdr(spark, bc)) == {"1": [("a", "B-Chemical"), ("b", "I-Chemical")]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import stars
@@ -16,6 +16,16 @@ DATASETS = {
 }
 
 
+def load(spark: SparkSession, dataset: str, path: str, max_samples: int | None = None, seed: int = 42, languages: int = 1) -> DataFrame:
+    """Samples of a dataset by name: ``max_samples`` of them, else the dataset's default number for each language, else all; the same rows
+    for the same seed, whatever the partitions. An unknown name is an error that says which are known."""
+    if dataset not in DATASETS:
+        raise ValueError(f"unknown dataset {dataset}; known are {', '.join(sorted(DATASETS))}")
+    samples = DATASETS[dataset](spark, path)
+    wanted = adapters.sample_count(dataset, max_samples, languages)
+    return samples if wanted is None else adapters.subsample(samples, wanted, "sample_id", seed)
+
+
 def combinations(systems: DataFrame, datasets: DataFrame) -> DataFrame:
     """Every system with every dataset, to be run in this order: two small tables of names."""
     return systems.crossJoin(datasets).orderBy("system", "dataset")

@@ -29,7 +29,15 @@ _SPAN_TYPE = T.StructType([T.StructField("label", T.StringType()), T.StructField
 
 @F.arrow_udf(T.ArrayType(_SPAN_TYPE))
 def literal_spans(column: pa.Array) -> pa.Array:
-    """Spans given as JSON or as a literal of single-quoted dictionaries; anything else has none. Only rows that from_json can't read get here."""
+    """Spans given as JSON or as a literal of single-quoted dictionaries; anything else has none, and a span whose start or end is no whole
+    number is left out. Only rows that from_json can't read get here."""
+    def place(value) -> int | None:
+        try:
+            number = int(value)
+        except (TypeError, ValueError, OverflowError):
+            return None
+        return number if -(1 << 31) <= number < 1 << 31 else None
+
     out = []
     for x in column.to_pylist():
         try:
@@ -37,10 +45,11 @@ def literal_spans(column: pa.Array) -> pa.Array:
         except ValueError:
             try:
                 got = ast.literal_eval(x)
-            except (ValueError, SyntaxError):
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
                 got = []
         rows = [g for g in got if isinstance(g, dict) and {"label", "start", "end"} <= set(g)] if isinstance(got, list) else []
-        out.append([{"label": str(g["label"]), "start": int(g["start"]), "end": int(g["end"]), "text": str(g.get("text", ""))} for g in rows])
+        spans = [{"label": str(g["label"]), "start": place(g["start"]), "end": place(g["end"]), "text": str(g.get("text", ""))} for g in rows]
+        out.append([x for x in spans if x["start"] is not None and x["end"] is not None])
     return pa.array(out, pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
 
 
