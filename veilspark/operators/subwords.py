@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.registry import STRIDE, WINDOW
-from .tokens import overlap_labels, windows, word_tokens
+from .tokens import bounded_batches, overlap_labels, parts, windows, word_tokens
 
 #: A public tokenizer's file; every operator here takes a path.
 DEFAULT = "/opt/tokenizers/word_bpe_49k.json"
 _PIECES = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("id", T.IntegerType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+#: Bytes of text that are encoded together: an encoding takes some hundred bytes a subword.
+PART = 1 << 18
 _loaded: dict = {}
 
 
@@ -27,15 +30,23 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+def _pieces(encoded: list) -> pa.Array:
+    """The encodings of some texts as lists of pieces, built column by column."""
+    edges = np.cumsum([0, *(len(x.ids) for x in encoded)])
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x.ids, np.int32) for x in encoded)])
+    places = np.concatenate([np.zeros((0, 2), np.int32), *(np.asarray(x.offsets, np.int32).reshape(-1, 2) for x in encoded)])
+    numbers = np.arange(len(ids)) - np.repeat(edges[:-1], np.diff(edges))
+    columns = [pa.array(np.ascontiguousarray(x), pa.int32()) for x in (numbers, ids, places[:, 0], places[:, 1])]
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(columns, ["idx", "id", "s", "e"]))
+
+
 def subwords(text: Column, path: str) -> Column:
     """array<struct<idx, id, s, e>>: the subwords of a whole text by the tokenizer file ``path``, without special tokens, offsets in code points."""
 
     @F.arrow_udf(_PIECES)
     def cut(column: pa.Array) -> pa.Array:
-        out = []
-        for encoded in _tokenizer(path).encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False):
-            out.append([{"idx": k, "id": i, "s": s, "e": e} for k, (i, (s, e)) in enumerate(zip(encoded.ids, encoded.offsets, strict=True))])
-        return pa.array(out, pa.list_(pa.struct([("idx", pa.int32()), ("id", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])))
+        lists = [_pieces(_tokenizer(path).encode_batch(texts, add_special_tokens=False)) for texts in parts(column, PART)]
+        return pa.concat_arrays(lists) if lists else _pieces([])
 
     return cut(text)
 
@@ -43,8 +54,11 @@ def subwords(text: Column, path: str) -> Column:
 def windowed(docs: DataFrame, path: str, key: str = "sample_id", size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
     """(key, window, first, stop, pieces): the subwords of ``docs`` (key, text) in windows of at most ``size``, a new one every ``stride``; first and
     stop are the places of the text that the window decides. Texts of ``size`` subwords or fewer are one window, empty ones none."""
-    rows = docs.select(key, subwords(F.col("text"), path).alias("_p")).where(F.size("_p") > 0)
-    rows = rows.select(key, "_p", F.posexplode(windows(F.size("_p"), size, stride)).alias("window", "_w"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(key, subwords(F.col("text"), path).alias("_p"))
+    # outer, then without nulls: of a filter before, or of a plain explode, Catalyst encodes the texts once more
+    cut = F.when(F.size("_p") > 0, windows(F.size("_p"), size, stride))
+    rows = rows.select(key, "_p", F.posexplode_outer(cut).alias("window", "_w")).where("window is not null")
     return rows.select(key, "window", F.col("_w.first").alias("first"), F.col("_w.stop").alias("stop"), F.slice("_p", F.col("_w.start") + 1, size).alias("pieces"))
 
 
