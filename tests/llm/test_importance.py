@@ -80,3 +80,18 @@ def test_dictionary_hashes_each_string_once(spark, monkeypatch):
     assert sorted(hashed) == [b"a", b"a b", b"a b a", b"b", b"b a", b"b a b"]
     totals = importance.unplanes(importance._unpacked(told[-1]["totals"]), np.int64)
     assert totals.tolist() == [0] * 7 + [30, 0, 0] and [r["block"] for r in told] == [1, 2, -1]
+
+
+def test_what_is_asked_is_never_on_disk_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1]), pa.array([b"a b c d e f g h\n" * 3 + b"h g f e d c b a\n"])], ["block", "data"])
+    whole = {r.column("p")[0].as_py(): r.to_pylist() for r in importance._asker(12)(iter([batch]))}
+    turns = [{r.column("p")[0].as_py(): r.to_pylist() for r in importance._asker(12, t, 3)(iter([batch]))} for t in range(3)]
+    assert all(turns) and all(p % 3 == t for t in range(3) for p in turns[t]) and turns[0] | turns[1] | turns[2] == whole
+    # each turn is a table of its own, and the weights are worked out once
+    written, real = [], importance.materialize
+    monkeypatch.setattr(importance, "materialize", lambda df, label: written.append(label) or real(df, label))
+    rows, target = sample(60)
+    got(spark, rows, target, block_bytes=3000)
+    assert written == ["feature-buckets"] * 2 * importance.TURNS + ["scores", "draw-order", "draw"] and importance.TURNS > 1

@@ -5,7 +5,8 @@ These strings are dealt by a hash of their first two words to dictionary partiti
 each distinct string is counted and hashed once, and its bucket goes back to the blocks that have it. Bucket totals are sums
 over the dictionary, gains compare them with the target's, and a block adds up the gains of its documents' features.
 Only distinct features per block travel, never one row for each occurrence, and texts are shuffled nowhere: the table of blocks is
-bucketed by block, and replies come to it.
+bucketed by block, and replies come to it. Dictionary partitions have TURNS turns, one after the other: what a turn asks is deleted with
+its job, so that no more than its share is on disk at once. A block lists its features anew in each turn.
 
 The draw adds Gumbel noise to the weights and takes the highest scores: sampling without replacement in proportion to exp(weight / 1000).
 Ranks come from a sort by ranges and the number of rows in the ranges before, so that no task holds all documents.
@@ -17,9 +18,11 @@ target, has no features: gains are then those of zero counts. Other columns are
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
-from .common import delete, delete_at_exit, materialize, read, shared_dir, shuffles_dropped, small_batches
+from .common import delete, delete_at_exit, drop_table, materialize, read, shared_dir, shuffles_dropped, small_batches
 from .textgroups import mix, planes, unplanes
 
 BUCKETS, SEED, SHARE, MIN_WORDS = 10_000, 42, 0.05, 20
 #: Bytes of text of a block, and of text per dictionary partition.
 BLOCK_BYTES, PART_BYTES = 12 << 20, 1 << 23
+#: Turns in which the dictionary partitions are asked.
+TURNS = 2
 _U = np.uint64
 #: Lower case for A-Z; whatever is neither a letter a-z, a digit nor beyond ASCII ends a word.
 _NORMAL = bytes((k + 32 if 65 <= k <= 90 else k) if (48 <= k <= 57 or 65 <= k <= 90 or 97 <= k <= 122 or k >= 128) else 32 for k in range(256))
@@ -74,9 +79,10 @@ def _binary(buf: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf))])
 
 
-def _objects(strings: pa.Array) -> list[bytes]:
-    """The values of an array; to_pylist() makes a scalar of each."""
-    return strings.to_numpy(zero_copy_only=False).tolist()
+def _objects(strings: pa.Array) -> Iterator[bytes]:
+    """The values of an array, 65,536 objects at a time; to_pylist() makes a scalar of each."""
+    for at in range(0, len(strings), 1 << 16):
+        yield from strings.slice(at, 1 << 16).to_numpy(zero_copy_only=False).tolist()
 
 
 def _ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,10 +91,21 @@ def _ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ordered = codes[order]
     new = np.ones(len(codes), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(codes), np.int32)
-    place[order] = np.cumsum(new) - 1
+    distinct = ordered[new]
+    del ordered
+    place, run = np.empty(len(codes), np.int32), np.cumsum(new, dtype=np.int32)
+    run -= 1
+    place[order] = run
     at = np.nonzero(new)[0]
-    return ordered[at], place, np.diff(np.r_[at, len(codes)])
+    return distinct, place, np.diff(np.r_[at, len(codes)]).astype(np.int32)
+
+
+def _codes(high: np.ndarray, n: int, low: np.ndarray) -> np.ndarray:
+    """high * n + low, in one array of its own."""
+    codes = high.astype(np.int64)
+    codes *= n
+    codes += low
+    return codes
 
 
 class Block:
@@ -114,13 +131,13 @@ class Block:
         n = max(1, len(self.words))
         # the last word of a document starts no pair, the last two no triple
         self.at_2 = np.nonzero(doc[:-1] == doc[1:])[0].astype(np.int32)
-        pairs, self.pairs, count_2 = _ranked(self.ids[self.at_2].astype(np.int64) * n + self.ids[self.at_2 + 1])
+        pairs, self.pairs, count_2 = _ranked(_codes(self.ids[self.at_2], n, self.ids[self.at_2 + 1]))
         self.first, self.second = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         del pairs
         more = doc[self.at_2] == doc[np.minimum(self.at_2 + 2, len(doc) - 1)]
         more &= self.at_2 + 2 < len(doc)
         self.at_3 = self.at_2[more]
-        triples, self.triples, count_3 = _ranked(self.pairs[more].astype(np.int64) * n + self.ids[self.at_3 + 2])
+        triples, self.triples, count_3 = _ranked(_codes(self.pairs[more], n, self.ids[self.at_3 + 2]))
         self.pair, self.third = (triples // n).astype(np.int32), (triples % n).astype(np.int32)
         self.counts = np.bincount(self.ids, minlength=len(self.words)), count_2, count_3
 
@@ -134,7 +151,8 @@ class Block:
         """Sum of gains per document; gains of the words, pairs and triples."""
         total = np.zeros(self.docs, np.int64)
         for at, along, gain in zip((np.arange(len(self.ids)), self.at_2, self.at_3), (self.ids, self.pairs, self.triples), gains, strict=True):
-            sums = np.r_[0, np.cumsum(gain[along])]
+            sums = np.zeros(len(along) + 1, np.int64)
+            np.cumsum(gain[along], out=sums[1:])
             upto = np.searchsorted(self.doc[at], np.arange(self.docs + 1))
             total += sums[upto[1:]] - sums[upto[:-1]]
         return total
@@ -175,21 +193,25 @@ _ASKED = pa.schema([("p", pa.int32()), ("block", pa.int64()), *[(x, pa.binary())
 _ASKED_DDL = "p int, block long, " + ", ".join(f"{x} binary" for x in _PARTS)
 
 
-def _cuts(dealt: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places by partition in their own order, where each partition's begin)."""
+def _cuts(dealt: np.ndarray, n: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(places by partition in their own order, where each partition's begin); only of the partitions of ``turn``, of every ``turns`` one."""
+    mine = np.nonzero(dealt % turns == turn)[0].astype(np.int32) if turns > 1 else np.arange(len(dealt), dtype=np.int32)
+    dealt = dealt[mine]
     # few partitions fit two bytes, which are sorted by counting
     order = np.argsort(dealt.astype(np.uint16) if n <= 1 << 16 else dealt, kind="stable")
-    return order, np.searchsorted(dealt[order], np.arange(n + 1))
+    return mine[order], np.searchsorted(dealt[order], np.arange(n + 1))
 
 
-def _asker(n_parts: int):
+def _asker(n_parts: int, turn: int = 0, turns: int = 1):
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 b = Block(data.as_py())
-                (w, w_at), (p, p_at), (t, t_at) = (_cuts(x, n_parts) for x in b.dealt(n_parts))
+                # the places along the text serve the weights alone
+                del b.ids, b.pairs, b.triples, b.at_2, b.at_3, b.doc
+                (w, w_at), (p, p_at), (t, t_at) = (_cuts(x, n_parts, turn, turns) for x in b.dealt(n_parts))
                 triples_of = np.bincount(b.pair, minlength=len(b.first))
-                for k in range(n_parts):
+                for k in range(turn, n_parts, turns):
                     ws, ps, ts = w[w_at[k] : w_at[k + 1]], p[p_at[k] : p_at[k + 1]], t[t_at[k] : t_at[k + 1]]
                     if not len(ws) and not len(ps):
                         continue
@@ -260,13 +282,16 @@ _SCORED_DDL = "doc_id long, n_words long, n_features long, weight long"
 
 
 def _weigher(n_parts: int, gains: np.ndarray):
+    gains = gains.astype(np.int32)
+
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         replies = dict(zip(told["p"].to_pylist(), told["buckets"].to_pylist(), strict=True))
         for ids, data in zip(blocks["ids"].to_pylist(), blocks["data"].to_pylist(), strict=True):
             b = Block(data)
             cuts = [_cuts(x, n_parts) for x in b.dealt(n_parts)]
-            found = [np.zeros(len(order), np.int64) for order, _ in cuts]
+            del b.words, b.first, b.second, b.pair, b.third, b.counts
+            found = [np.zeros(len(order), np.int32) for order, _ in cuts]
             for k, reply in replies.items():
                 buckets, a = unplanes(_unpacked(reply), np.uint16), 0
                 for gain, (order, at) in zip(found, cuts, strict=True):
@@ -297,10 +322,13 @@ class Features:
         self.blocks = spark.table(self.name)
         size = self.blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         self.n_parts, self.n_buckets = max(2 * least, -(-size // PART_BYTES)), n_buckets
-        asked = self.blocks.select("block", "data").mapInArrow(_asker(self.n_parts), _ASKED_DDL)
-        # what is asked is the largest exchange, and it has gone when the replies follow
-        with shuffles_dropped(spark):
-            self.told = materialize(asked.groupBy("p").applyInArrow(_dictionary(n_buckets), _TOLD_DDL), "feature-buckets")
+        self.tables = []
+        for turn in range(TURNS):
+            asked = self.blocks.select("block", "data").mapInArrow(_asker(self.n_parts, turn, TURNS), _ASKED_DDL)
+            # what is asked is the largest exchange, and it has gone when the next turn or the replies follow
+            with shuffles_dropped(spark):
+                self.tables.append(materialize(asked.groupBy("p").applyInArrow(_dictionary(n_buckets), _TOLD_DDL), "feature-buckets"))
+        self.told = functools.reduce(DataFrame.unionByName, self.tables)
 
     def totals(self) -> DataFrame:
         """(bucket, n): features of all documents in each bucket that has any. The partitions' totals are summed as they are, about
@@ -319,6 +347,8 @@ class Features:
         spark = self.blocks.sparkSession
         spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         delete(spark, self.path)
+        for table in self.tables:
+            drop_table(table)
 
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, n_buckets: int = BUCKETS) -> np.ndarray:
@@ -342,10 +372,14 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, min_words
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     scored = features.weights(gains).withColumn("score", F.col("weight") + noise)
     fit = (F.col("n_words") >= min_words).alias("fit")
+    # the sort by ranges reads its rows twice, once for the ranges: the weights are written before
+    with shuffles_dropped(docs.sparkSession):
+        scores = materialize(scored.select("doc_id", "n_features", "weight", "score", fit), "scores")
+    features.close()
     # documents that can't be drawn come after all others, so that positions are ranks
     order = [F.col("fit").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
-    placed = materialize(numbered(scored.select("doc_id", "n_features", "weight", "score", fit), order, "place", lambda df: materialize(df, "draw-order")), "draw")
-    features.close()
+    placed = materialize(numbered(scores, order, "place", lambda df: materialize(df, "draw-order")), "draw")
+    drop_table(scores)
     n = placed.agg(F.coalesce(F.sum(F.col("fit").cast("long")), F.lit(0))).first()[0]
     drawn = math.floor(round(share * 1_000_000) * n / 1_000_000)
     return placed.select("doc_id", "n_features", "weight", "score", F.when(F.col("place") <= drawn, F.col("place")).alias("rank"))
