@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilspark.llm import suffixes
@@ -122,3 +123,21 @@ def test_contexts_that_collide_in_polynomials(spark):
     assert first == second and all(r[2] == 0 for r in brute(rows))
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
+def test_contexts_are_dealt_over_all_buckets():
+    rng = random.Random(6)
+    common = rng.randbytes(30_000)
+    texts = [rng.randbytes(30_000) + common, common + rng.randbytes(30_000)]
+    of_key, sizes = {}, np.zeros(16)
+    for g, t in enumerate(texts):
+        a = suffixes.Anchors([t], suffixes.BLOCK)
+        said = pa.table({"key": a.key.view(np.int64), "context": a.context.view(np.int64), "state": np.full(len(a.key), suffixes.SEND)})
+        for row in suffixes._send_contexts(16, suffixes.BLOCK)(g, [b""], [0], [t], said).to_pylist():
+            keys = np.frombuffer(row["keys"], np.uint64).tolist()
+            sizes[row["b"]] += len(keys)
+            for k in keys:
+                of_key.setdefault(k, set()).add((g, row["b"]))
+    met = [x for x in of_key.values() if len({g for g, _ in x}) == 2]
+    assert len(met) > 50 and all(len({b for _, b in x}) == 1 for x in of_key.values())
+    assert sizes.max() < sizes.sum() / 5
