@@ -141,3 +141,40 @@ def test_contexts_are_dealt_over_all_buckets():
     met = [x for x in of_key.values() if len({g for g, _ in x}) == 2]
     assert len(met) > 50 and all(len({b for _, b in x}) == 1 for x in of_key.values())
     assert sizes.max() < sizes.sum() / 5
+
+
+def brute_earlier(rows):
+    """Bytes covered by windows that also start in a row before it, or further to the left; equal rows count as one."""
+    order = sorted({((1 << 63) - 1 if d is None else d, hashlib.md5((t or "").encode()).digest(), (t or "").encode()) for d, t in rows})
+    # only the first row of a text can have windows that are new
+    seen, out = set(), {}
+    for doc_id, _, t in order:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if t[i : i + 400] in seen:
+                gone[i : i + 400] = True
+            seen.add(t[i : i + 400])
+        out[doc_id, t] = int(gone.sum())
+    return sorted((str(d), len((t or "").encode()), out[(1 << 63) - 1 if d is None else d, (t or "").encode()]) for d, t in rows)
+
+
+@pytest.mark.parametrize("seed, hot, block", [(1, 20_000, 1 << 20), (2, 2, 700), (3, 6, 1 << 20), (4, 30, 1 << 20)])
+def test_bytes_that_repeat_earlier_ones(spark, monkeypatch, seed, hot, block):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    rows = sample(seed)
+    # copies before and after, rows without doc_id and two texts of one doc_id
+    rows += [(-5, rows[7][1]), (900, rows[7][1]), (None, rows[9][1]), (None, rows[9][1] + "end"), (200, rows[11][1] + "one"), (200, rows[11][1] + "two")]
+    random.Random(seed).shuffle(rows)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_repeat_bytes) for r in got) == brute_earlier(rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
+def test_first_holder_is_told_from_planted_passage(spark):
+    rng = random.Random(5)
+    prose = ["".join(rng.choices("abcdefgh ", k=900)) for _ in range(3)]
+    rows = [(1, prose[0]), (2, prose[1] + prose[0][100:700] + prose[2])]
+    got = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (600, 600)
+    assert (got[1].n_repeat_bytes, got[2].n_repeat_bytes) == (0, 600)
